@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.lookalikes import look_form, names_that_look
 from factloom.llm.packing import pack
 from factloom.llm.tokens import decoded, encode_corpus, token_count
 from factloom.session import scratch, table
@@ -13,6 +14,39 @@ from factloom.session import scratch, table
 MOST_CAPACITIES = 1000
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns key, name: all names of each series."""
+    sources, metadata = table(spark, sf_dir, "sources"), table(spark, sf_dir, "series_metadata")
+    return (
+        sources.select(F.col("tmdbId").alias("key"), F.explode(F.array_union(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+        .unionByName(metadata.select(F.col("tmdbId").alias("key"), F.explode(F.array("title", "originalTitle")).alias("name")))
+    )
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns table_name, row_id, pos, key, text: each place where a series is named."""
+    official = table(spark, sf_dir, "official_series_data")
+    cases = table(spark, sf_dir, "hbo_max_qualification_cases")
+    evidence = table(spark, sf_dir, "hbo_production_evidence")
+    key = F.col("tmdbId").alias("key")
+    one = (F.lit(0).alias("pos"), key)
+    return (
+        official.select(F.lit("official_series_data").alias("table_name"), "row_id", *one, F.col("title").alias("text"))
+        .unionByName(cases.select(F.lit("hbo_max_qualification_cases").alias("table_name"), "row_id", key, F.posexplode("aliases").alias("pos", "text")))
+        .unionByName(evidence.select(F.lit("hbo_production_evidence").alias("table_name"), "row_id", *one, F.col("requestedTitle").alias("text")))
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = names_that_look(spark, _titles(spark, sf_dir), _names(spark, sf_dir))
+    return found.select("table_name", "row_id", "pos")
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title in its one form, for comparisons; those without tmdbId too."""
+    return _titles(spark, sf_dir).withColumn("form", look_form(spark, F.col("text")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -38,4 +72,4 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers}
