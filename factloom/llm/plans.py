@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.encoding import find_garbled
 from factloom.llm.lookalikes import look_form, names_that_look
 from factloom.llm.packing import pack
 from factloom.llm.tokens import decoded, encode_corpus, token_count
@@ -14,6 +15,25 @@ from factloom.session import scratch, table
 MOST_CAPACITIES = 1000
 
 
+def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns table_name, row_id, pos, text: each element of the two affected fields."""
+    evidence, research = table(spark, sf_dir, "hbo_production_evidence"), table(spark, sf_dir, "wbd_hbo_max_web_research")
+    return evidence.select(
+        F.lit("hbo_production_evidence").alias("table_name"), "row_id", F.posexplode("relevantEvidenceSnippet").alias("pos", "text")
+    ).unionByName(
+        research.select(F.lit("wbd_hbo_max_web_research").alias("table_name"), "row_id", F.lit(0).alias("pos"), F.col("contentType").alias("text"))
+    )
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affected elements with the chain that garbled them and their original text, null where it is lost."""
+    return find_garbled(spark, _snippets(spark, sf_dir), "text", ["table_name", "row_id", "pos"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_restored(spark, sf_dir).select("table_name", "row_id", "pos")
+
+
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns key, name: all names of each series."""
     sources, metadata = table(spark, sf_dir, "sources"), table(spark, sf_dir, "series_metadata")
@@ -72,4 +92,4 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_forms": p3_forms, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers}
