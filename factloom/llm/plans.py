@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.llm.encoding import find_garbled
 from factloom.llm.lookalikes import look_form, names_that_look
 from factloom.llm.packing import pack
+from factloom.llm.residue import find_residue
 from factloom.llm.tokens import decoded, encode_corpus, token_count
 from factloom.session import scratch, table
 
@@ -92,4 +93,19 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_forms": p3_forms, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers}
+def p8_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affected documents with the kind of residue: slot, filler or message."""
+    return find_residue(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_residue(spark, sf_dir).select("doc_id")
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without residue, null and empty ones included."""
+    documents = table(spark, sf_dir, "documents")
+    return documents.join(p8_found(spark, sf_dir), "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars")
+
+
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_forms": p3_forms, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p8_found": p8_found, "p8_residue": p8_residue, "p8_kept": p8_kept}
