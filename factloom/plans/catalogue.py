@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import data_ops
+from factloom.plans import data_ops, measures, relational, scalars
 
-_PARTS = (data_ops,)
+_PARTS = (data_ops, relational, measures, scalars)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
