@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import spans
 from factloom.functions.claims import extract_claims
 from factloom.operators.graph import bounded_walk
 from factloom.operators.resolve import reconcile
@@ -45,6 +46,12 @@ def cooled_down_events(spark: SparkSession, d: str) -> DataFrame:
     return folds.fold(_events(spark, d).select("user_id", "event_id", "t"), "user_id", ["t", "event_id"], folds.cool_down(86_400.0), "user_id long, event_id long, accepted boolean")
 
 
+@query()
+def rolling_quota_events(spark: SparkSession, d: str) -> DataFrame:
+    """At most 2 events of a user in 12 hours, the others with the delay they must wait."""
+    return folds.fold(_events(spark, d).select("user_id", "event_id", "t"), "user_id", ["t", "event_id"], folds.rolling_quota(2, 43_200.0), "user_id long, event_id long, granted boolean, delay double")
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_hour_counts(spark: SparkSession, d: str) -> DataFrame:
     return folds.tumbling_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -83,6 +90,17 @@ def document_claims(spark: SparkSession, d: str) -> DataFrame:
     return extract_claims(table(spark, d, "documents"), "doc_id", "text", "publication_date")
 
 
+@query()
+def season_and_status_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Interval join on offsets: each status word in a snippet with the nearest season number within 85 characters."""
+    e = table(spark, d, "hbo_production_evidence").select("row_id", F.posexplode("relevantEvidenceSnippet").alias("pos", "t")).where("t is not null")
+    claims = spans.spans(F.col("t"), r"\b(?:renewed|cancel\w*|premieres|final season|returns?)\b")
+    seasons = spans.spans(F.col("t"), r"\bseason \d+|\b\w+ season\b")
+    found = e.select("row_id", "pos", "t", claims.alias("claims"), seasons.alias("seasons"))
+    near = found.select("row_id", "pos", "t", F.explode(spans.pairs(F.col("claims"), F.col("seasons"), 85)).alias("x"))
+    return near.select("row_id", "pos", F.col("x.claim.text").alias("claim"), F.col("x.reference.text").alias("season"), F.col("x.reference.gap").alias("gap"), spans.excerpt(F.col("t"), F.col("x.claim"), F.col("x.reference")).alias("excerpt"))
+
+
 @query("""
 WITH c AS (SELECT tmdbId, nextSeasonNumber AS g, status, releaseDate, row_id, CASE status WHEN 'CANCELED' THEN 4 WHEN 'FINAL_SEASON' THEN 3 WHEN 'RENEWED' THEN 1 ELSE 0 END AS w FROM hbo_production_evidence WHERE tmdbId IS NOT NULL),
 t AS (SELECT * FROM c QUALIFY rank() OVER (PARTITION BY tmdbId ORDER BY coalesce(g, -1) DESC) = 1)

@@ -107,6 +107,22 @@ def cool_down(seconds: float, at: str = "t", event: str = "event_id") -> Step:
     return step
 
 
+def rolling_quota(limit: int, window: float, slack: float = 1.0, at: str = "t", event: str = "event_id") -> Step:
+    """At most ``limit`` in ``window`` seconds; a refused event is told the delay until one falls out, plus ``slack``.
+
+    Remembered times in the future (a clock that went back) are dropped.
+    """
+
+    def step(state: dict | None, row: dict) -> tuple[dict, dict]:
+        now = row[at]
+        kept = [x for x in (state or {}).get("kept", []) if now - window < x <= now][-limit:]
+        granted = len(kept) < limit
+        delay = 0.0 if granted else kept[0] + window + slack - now
+        return {"kept": [*kept, now] if granted else kept}, {event: row[event], "granted": granted, "delay": delay}
+
+    return step
+
+
 def newest_version(version: str = "version", event: str = "event_id") -> Step:
     """Take an event if its version is greater than all before; else tell whether it is the same or older."""
 

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import codes as C
 from factloom.functions import dates as D
+from factloom.functions import spans as S
 from factloom.functions import text as X
 from factloom.functions import urls as U
 from factloom.functions.claims import extract_claims
@@ -93,6 +95,29 @@ def test_date_functions(spark):
     assert one(spark, D.retry_after(F.col("t"), now), t="0") == 1 and one(spark, D.retry_after(F.col("t"), now), t="Thu, 01 Jan 2026 00:01:00 GMT") == 60
 
 
+def test_spans(spark):
+    df = spark.createDataFrame([("season 2 was renewed, and season 10 canceled",), (None,), ("",)], "t string")
+    found = df.select("t", S.spans(F.col("t"), "renewed|canceled").alias("a"), S.spans(F.col("t"), r"season \d+").alias("b"))
+    rows = found.select(S.pairs(F.col("a"), F.col("b"), 6).alias("p")).collect()
+    assert [[(x.claim.text, x.reference.text, x.reference.gap) for x in r.p] for r in rows] == [[("renewed", "season 2", 5), ("canceled", "season 10", 1)], [], []]
+    assert found.select(S.pairs(F.col("a"), F.col("b"), 0).alias("p")).first().p == []
+    row = found.where("t like 'season%'")
+    assert row.select(S.latest_before(F.get("a", F.lit(0)), F.col("b"), 10)["text"]).first()[0] == "season 2"
+    assert row.select(S.excerpt(F.col("t"), F.get("a", F.lit(0)), F.get("b", F.lit(0)), 24)).first()[0] == "season 2 was renewed,"
+
+
+def test_codes(spark):
+    import hashlib
+    import hmac
+
+    assert one(spark, C.hmac_sha256(F.col("m"), b"k"), m="x") == hmac.new(b"k", b"x", hashlib.sha256).hexdigest()
+    assert one(spark, C.normal_percent(F.col("u")), u="/%7Euser/%2f%zz") == "/~user/%2F%zz"
+    line = C.encode_line(1, [F.lit("a|b"), F.lit(None).cast("string"), F.lit("")])
+    assert tuple(one(spark, C.decode_line(line, 1, ["x", "y", "z"]), q=1)) == ("a|b", None, "")
+    for bad in ("2|=YQ|-|-", "1|=YQ", "1|=Y Q|-|-", "", None):
+        assert one(spark, C.decode_line(F.col("l"), 1, ["x", "y", "z"]), l=bad) is None
+
+
 def test_claims(spark):
     df = spark.createDataFrame([(1, "Paper Ferry has been renewed for a third season. It won't be renewed for season 4. Was season 5 canceled?", "2026-01-01"), (2, None, None)], "id int, t string, a string").withColumn("a", F.col("a").cast("date"))
     rows = extract_claims(df, "id", "t", "a", F.array(F.lit("paper ferry"))).collect()
