@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizer's pattern of the public byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK = 1 << 16
+#: Every text goes through the transducer in pieces of so many characters.
+CHUNK = 1 << 11
 #: A match that ends this many characters before the end of what is known can't change any more: a
 #: contraction has three characters and white space looks one ahead.
 WORD_LOOKAHEAD = 3
@@ -228,8 +229,6 @@ def encode(text: str | None, vocab: Vocabulary) -> list[int]:
     """Ids of a text; none for an empty or null one."""
     if not text:
         return []
-    if len(text) <= CHUNK:  # one piece: nothing is held back
-        return vocab.encoding.encode_ordinary(text)
     return list(encode_stream((text[i : i + CHUNK] for i in range(0, len(text), CHUNK)), vocab))
 
 
