@@ -92,7 +92,7 @@ def gap_ranking(spark: SparkSession, d: str) -> DataFrame:
     ).where("failures > 0")
     score = F.bround((F.lit(100.0) - 100.0 * F.col("covered") / F.col("cases")) * F.col("dominant_n") / F.col("failures"), 3)
     ranked = by_route.withColumn("score", score)
-    return ranked.select("route", "dominant", "score", F.row_number().over(Window.orderBy(F.desc("score"), "route")).alias("place"))
+    return ranked.select("route", "dominant", "score", F.row_number().over(Window.orderBy(F.desc("score"), "route")).cast("long").alias("place"))
 
 
 @query("""

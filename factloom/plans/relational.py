@@ -199,7 +199,7 @@ def due_top_three(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity) AS place FROM lineitem) WHERE place <= 3")
 def top_three_per_group(spark: SparkSession, d: str) -> DataFrame:
     order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_quantity")]
-    return O.top_per_group(table(spark, d, "lineitem"), "l_suppkey", order, 3).select("l_suppkey", "l_orderkey", "l_linenumber", "place")
+    return O.top_per_group(table(spark, d, "lineitem"), "l_suppkey", order, 3).select("l_suppkey", "l_orderkey", "l_linenumber", F.col("place").cast("long").alias("place"))
 
 
 @query("""

@@ -72,7 +72,7 @@ def staleness(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "changes").select("row_id", D.is_stale(F.col("receivedAt"), now, 24).alias("stale"))
 
 
-@query("""WITH s AS (SELECT row_id, unnest(relevantEvidenceSnippet) AS t, generate_subscripts(relevantEvidenceSnippet, 1) - 1 AS pos FROM hbo_production_evidence),
+@query("""WITH s AS (SELECT row_id, unnest(relevantEvidenceSnippet) AS t, CAST(generate_subscripts(relevantEvidenceSnippet, 1) - 1 AS INTEGER) AS pos FROM hbo_production_evidence),
 m AS (SELECT row_id, pos, t, lower(regexp_extract(t, '(?i)\\b(enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre)\\b', 1)) AS x, regexp_extract(t, '(?i)\\b([0-9]{1,2}) de (?:enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre) de ([0-9]{4})\\b', ['d', 'y']) AS g, lower(regexp_extract(t, '(?i)\\b[0-9]{1,2} de (enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre) de [0-9]{4}\\b', 1)) AS mon FROM s)
 SELECT row_id, pos, make_date(CAST(g.y AS INTEGER), list_position(['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'], mon), CAST(g.d AS INTEGER)) AS day FROM m WHERE mon <> ''""")
 def spanish_dates(spark: SparkSession, d: str) -> DataFrame:
