@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,13 +47,12 @@ LEGACY = (
 
 BITS3, BITS2, BITS1 = 20, 18, 16
 SIZE = (1 << BITS3) + (1 << BITS2) + (1 << BITS1)
-#: Parameters of the validation. One clean record in ``HELD_OUT`` (by hash) stays out of the training; at most
-#: ``SAMPLE`` of those are scored to set the margins.
-HELD_OUT, SAMPLE = 64, 4000
-#: Least margins in nats. Validation raises one until at most ``ACCEPTED`` of the held-out records pass it; it is
-#: above the share of records that are damaged without a sign that the training's filter knows.
+#: One clean text in ``HELD_OUT`` (by hash) stays out of the training; all of those validate the margins.
+HELD_OUT = 64
+#: Least margins in nats. Validation raises one where that spares more clean texts than it loses corrupted ones.
 MARGINS = {"utf8": 3.0, "whole": 4.0, "legacy": 20.0, "lossy": 6.0}
-ACCEPTED = 0.003
+#: Places of the validation's histograms of gains, and nats from one to the next.
+PLACES, STEP = 2048, 0.25
 #: Gains from which on the first model doubts a record of its own training.
 DOUBT, DOUBT_TOKEN = {"whole": 1.0, "lossy": 4.0}, 0.5
 #: Nats that a character unknown to the clean records costs a candidate.
@@ -335,14 +335,79 @@ def kind_of(chain: str) -> str:
     return "lossy" if chain.endswith("<lossy") else "utf8" if chain.startswith("utf8") else "legacy"
 
 
-def margins(chains: Chains, clean: list[str]) -> dict[str, float]:
-    """The margin of each kind: its least value, or more if held-out clean records would pass it."""
-    gains: dict[str, list[float]] = {k: [] for k in KINDS}
-    for text in clean:
-        for kind, (_, gain, _) in chains.best(text).items():
-            gains[kind].append(gain)
-    passing = int(ACCEPTED * len(clean))
-    return {k: max(MARGINS[k], sorted(g, reverse=True)[passing] + 0.01 if len(g) > passing else 0.0) for k, g in gains.items()}
+def corruptions(text: str) -> Iterator[tuple[str, str]]:
+    """For each kind of evidence a corruption of a clean text, with encodings that its hash picks."""
+    pick = zlib.crc32(text.encode("utf-8", "replace"))
+
+    def shown(part: str, meant: str, w: str) -> str:
+        table = byte_table(w)
+        return "".join(chr(b) if b < 0x80 else table[b - 0x80] for b in part.encode(meant))
+
+    try:
+        yield "utf8", shown(text, "utf-8", WRONG[pick % len(WRONG)])
+        yield "lossy", re.sub(r"[\x80-\x9f]", "", shown(text, "utf-8", ("latin-1", "cp1252", "cp1250")[pick % 3]))
+    except UnicodeEncodeError:
+        return
+    for n in range(len(LEGACY)):
+        w, meant = LEGACY[(pick + n) % len(LEGACY)]
+        try:
+            garbled = shown(text, meant, w)
+        except UnicodeEncodeError:
+            continue
+        if garbled != text:
+            yield "whole", garbled
+            tokens = text.split(" ")
+            yield "legacy", " ".join(tokens[: len(tokens) // 2] + [shown(t, meant, w) for t in tokens[len(tokens) // 2 :]])
+            return
+
+
+def tally(spark: SparkSession, counts: np.ndarray, clean: DataFrame) -> np.ndarray:
+    """Histograms of the gains of ``clean`` texts and of their corruptions: (which, kind, place) -> texts.
+
+    Place 0 is no gain, place i a gain of at least (i - 1) * ``STEP``. Scored where the texts are; only the
+    histograms, of fixed size, reach the driver.
+    """
+    shared = spark.sparkContext.broadcast(counts)
+    shape = (2, len(KINDS), PLACES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains, seen = Chains(shared.value), np.zeros(shape, dtype=np.int64)
+
+        def add(which: int, kind: str, gain: float) -> None:
+            seen[which, KINDS.index(kind), min(int(gain / STEP) + 1, PLACES - 1) if gain > 0 else 0] += 1
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                told = chains.best(text)
+                for kind in KINDS:
+                    add(0, kind, told[kind][1] if kind in told else 0.0)
+                for kind, garbled in corruptions(text):
+                    if garbled != text:
+                        add(1, kind, chains.best(garbled).get(kind, ("", 0.0, ""))[1])
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen.ravel()[at])], names=["at", "n"])
+
+    found = np.zeros(shape, dtype=np.int64)
+    for row in clean.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        found.ravel()[row["at"]] = row["n"]
+    return found
+
+
+def margins(spark: SparkSession, counts: np.ndarray, clean: DataFrame) -> dict[str, float]:
+    """The margin of each kind, from held-out clean texts (one column) and corruptions made from them.
+
+    Of all margins from the least one on, the one that loses the least: the share of clean texts that pass
+    plus the share of corrupted ones that don't. Both are shares, so the size of the data doesn't
+    matter, and damaged texts among the clean ones, which gain what the corrupted ones gain, can't
+    raise it: that would lose more corrupted texts than it would spare.
+    """
+    out = {}
+    for kind, clean_seen, corrupt_seen in zip(KINDS, *tally(spark, counts, clean), strict=True):
+        least = int(MARGINS[kind] / STEP) + 1
+        passing = clean_seen[::-1].cumsum()[::-1][least:] / max(clean_seen.sum(), 1)
+        missed = (corrupt_seen.cumsum() - corrupt_seen)[least:] / max(corrupt_seen.sum(), 1)
+        out[kind] = MARGINS[kind] + STEP * int(np.argmin(passing + missed))
+    return out
 
 
 def verdict(chains: Chains, limits: dict[str, float], text: str) -> tuple[str, str | None] | None:
@@ -388,8 +453,8 @@ def fit(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, dict[str, fl
     clean = F.col(column).isNotNull() & ~is_damaged(F.col(column))
     training = texts.where((part != 0) & clean)
     counts = retrain(spark, training, train(training))
-    held_out = [r[0] for r in texts.where((part == 0) & clean).orderBy(F.xxhash64(column), column).limit(SAMPLE).collect()]
-    return counts, margins(Chains(counts), held_out)
+    held_out = texts.where((part == 0) & F.col(column).rlike("[^\\x00-\\x7F]") & clean).distinct().repartition(spark.sparkContext.defaultParallelism)
+    return counts, margins(spark, counts, held_out)
 
 
 def find_garbled(spark: SparkSession, records: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -398,7 +463,7 @@ def find_garbled(spark: SparkSession, records: DataFrame, text: str, keys: list[
     Returns ``keys``, original, chain and restored (null where the bytes are lost). Null, empty and pure
     ASCII texts are right as they are and never reach Python. Repeated records count each. The model is
     fitted on the clean ones among ``records``; with none at all nothing but U+FFFD can be told.
-    The only data on the driver are the count table of fixed size and the validation sample.
+    The only data on the driver are the count table and the validation's histograms, both of fixed size.
     """
     counts, limits = fit(spark, records.select(text))
     shared = spark.sparkContext.broadcast((counts, limits))

@@ -193,6 +193,28 @@ def test_find_garbled_in_spark(spark):
     assert E.find_garbled(spark, df.limit(0), "t", ["id"]).count() == 0
 
 
+def test_margins_come_from_distinct_texts_and_bear_hidden_damage(spark):
+    import numpy as np
+
+    table = np.zeros(E.SIZE, dtype=np.int64)
+    E.count_into(table, CLEAN * 40)
+    hidden = [broken(CLEAN[4], "cp1250", "cp1252"), broken(CLEAN[0], "utf-8", "cp1252")]
+    held_out = spark.createDataFrame([(f"{t} {i}",) for i in range(20) for t in CLEAN] + [(f"{t} {i}",) for i in range(3) for t in hidden], "t string")
+    limits = E.margins(spark, table.astype(np.float32), held_out)
+    chains = E.Chains(table.astype(np.float32))
+    assert all(E.verdict(chains, limits, t) is not None for t in hidden) and all(E.verdict(chains, limits, t) is None for t in CLEAN)
+
+
+def test_one_text_does_not_fill_the_validation(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(E, "margins", lambda *given: seen.append(given[-1].collect() if hasattr(given[-1], "collect") else given[-1]) or dict(E.MARGINS))
+    texts = [f"{t} {i}" for i in range(100) for t in CLEAN]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    held_out = [r.t for r in df.where(F.pmod(F.xxhash64("t"), F.lit(E.HELD_OUT)) == 0).collect()]
+    E.fit(spark, df.unionByName(spark.createDataFrame([(held_out[0],)] * 5000, "t string")))
+    assert sorted(r[0] if not isinstance(r, str) else r for r in seen[0]) == sorted(set(held_out))
+
+
 # --- residue --------------------------------------------------------------------------------------------------
 
 REAL = "The third season of Paper Ferry premieres May 3, 2026 with 8 episodes. "
