@@ -7,7 +7,7 @@ text once. What it hits decides which exact checks follow:
   still to be written. One is enough, anywhere, unless the text merely quotes it.
 * filler: a run of dummy words, a placeholder sentence that is repeated, a list of dummy fields or
   dummy lines, be it the whole text or a section of it.
-* message: what is left of a short page without markup, menu lines, footer and headline is covered by
+* message: what is left of a page without markup, menu lines, footer and headline is covered by
   error, access or script messages to at least ``COVERED`` of its letters. Real content beside
   a message keeps the coverage low.
 
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of letters that messages must cover, and the length up to which a page can be a mere message.
-COVERED, LONGEST_PAGE = 0.7, 1500
+#: Share of letters that messages must cover.
+COVERED = 0.7
 #: Words in a row that make filler, and repeats of a sentence or line.
 RUN, REPEATS = 4, 3
 
@@ -132,9 +132,13 @@ _BOILER = re.compile(
 )
 #: Messages around a name of any kind, which counts as covered.
 _FRAMES = re.compile(r"content (?:for|of) .{1,80} could not be (?:loaded|displayed)|(?:update|upgrade) (?:it|your browser) to (?:view|use|see) .{1,60}(?: correctly|$)|(?:allow|enable) (?:scripts|cookies|javascript) for .{1,60}$", re.IGNORECASE)
+_FRAME_STARTS, _FRAME = re.compile(r"content (?:for|of) |(?:update|upgrade) (?:it|your browser) to |(?:allow|enable) (?:scripts|cookies|javascript) for ", re.IGNORECASE), 160
+#: Elements without content of the page: comments, styles, scripts, menus and footers; then tags.
+_UNSEEN = re.compile(r"<!--(?:(?!<!--|-->).)*-->|<(style|script|nav|footer)\b(?:(?!<\1\b|</\1).)*</\1\s*>", re.IGNORECASE | re.DOTALL)
+_MARKUP = re.compile(r"<[^<>\n]{1,80}>|</?[A-Za-z!][^<>]*>")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*;?")
 #: What varies in messages: numbers, ids, hosts, paths, quoted names, JSON keys.
-_NEUTRAL = re.compile(r"https?://\S+|(?:[\w-]+\.)+[a-z]{2,}\b|/[\w./-]+|\"[^\"\n]*\"|'[^'\n]{0,80}'|\b[\w.]*\d[\w.:-]*\b|\([^()\n]{0,40}\)|\bat [\w.]+\([\w:.]+\)|\b(?:file|line|code|ray|ref|status|message|trace|type|java|lang|tv|site|error|fehler|erreur|greška|key|requestid|hostid)\b", re.IGNORECASE)
+_NEUTRAL = re.compile(r"https?://\S+|(?:[\w-]+\.)+[a-z]{2,}\b|/[\w./-]+|\"[^\"\n]*\"|'[^'\n]{0,80}'|\b[\w.]*\d[\w.:-]*\b|\([^()\n]{0,40}\)|\bat [\w.$/]+\([^()\n]*\)|\bcaused by:|\.\.\. \d+ more\b|\b(?:file|line|code|ray|ref|status|message|trace|type|java|lang|tv|site|error|fehler|erreur|greška|key|requestid|hostid)\b", re.IGNORECASE)
 _SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -259,14 +263,16 @@ def is_filler(text: str, kinds: set[str]) -> bool:
 
 def is_message(text: str) -> bool:
     """The page consists of messages only, apart from markup, menus, headline and footer."""
-    if len(text) > LONGEST_PAGE:
-        return False
-    plain = re.sub(r"<[^<>\n]{1,80}>", "\n", text.replace("’", "'"))
+    plain = _MARKUP.sub("\n", _UNSEEN.sub("\n", text.replace("’", "'")))
+    # What messages can cover at most: once more letters than that allows are seen, the rest can't help.
+    most = sum(size for _, (kind, size) in automaton().iter(plain.lower()) if kind & {"message", "notice"}) + _FRAME * len(_FRAME_STARTS.findall(plain))
     lines = [line.strip() for line in plain.split("\n")]
     lines = [line for line in lines if not _BOILER.search(line)]
     found, strong = 0, False
     total = 0
     for n, line in enumerate(lines):
+        if COVERED * total > most:
+            return False
         low = line.lower()
         marks = bytearray(len(low))
         for m in _NEUTRAL.finditer(low):

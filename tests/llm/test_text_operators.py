@@ -233,6 +233,23 @@ def test_residue(text, kind):
     assert R.residue(text) == kind
 
 
+LONG_MARKUP = "<html><head>\n<style>\n" + "".join(f".card{i} {{ color: red; margin: {i}px auto }}\n" for i in range(80)) + "</style><script>" + "".join(f"window.app{i} = load('shows');\n" for i in range(40)) + "</script></head>\n"
+TRACE = "HTTP Status 500 - Internal Server Error\nException in thread \"main\" java.lang.NullPointerException\n" + "\n".join(f"\tat tv.paper.web.Page$View{i}.render(Page.java:{i})" for i in range(90))
+
+
+@pytest.mark.parametrize("text", [
+    LONG_MARKUP + "<body><h1>Access Denied</h1><p>You don't have permission to access this page on this server.</p></body></html>", TRACE,
+    "404 Not Found\nThe requested URL /a-b was not found on this server.\n" + "".join(f"Home | Shows {i} | Press | Contact\n" for i in range(100)), "".join(f"Home | Shows {i} | Press | Contact\n" for i in range(60)) + "Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.",
+])
+def test_message_on_a_long_page(text):
+    assert len(text) > 1500 and R.residue(text) == "message"
+
+
+def test_real_content_on_a_long_page():
+    said = " ".join(f"Part {i} of Paper Ferry follows in spring." for i in range(99))
+    assert R.residue(LONG_MARKUP + f"<p>{said}</p><p>Access denied</p></html>") is None and R.residue("Access denied. Please try again later.\n" + said) is None
+
+
 @pytest.mark.parametrize("text", [
     None, "", " \n", REAL, "Short.", REAL + "The fake papers were filled with lorem ipsum until she wrote real headlines.", REAL + "\nTo see comments enable JavaScript.",
     "In its logo the series is stylised as {AFFAIR}, braces included. " + REAL, "Interns mailed a kit addressed to “Dear [Name]”, she said. " + REAL, "[laughs] “I can't tell you that.” [pause] “Ask her.” " + REAL,
