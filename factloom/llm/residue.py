@@ -122,9 +122,9 @@ _NATURAL = re.compile(
 )
 _MENTION = re.compile(r"stylised|stylized|braces|brackets|logo|klammern|accolades|crochets|llaves|corchetes|zagrad", re.IGNORECASE)
 
-#: Cheap look for marks that could belong to a slot, before the exact checks.
-_MARKS = re.compile(r"[{}<\[_~]|%[A-Za-z(]|%%|\$[A-Za-z{]|##|@@|\*\*|\*\||\?{4}|TODO|FIXME|MISSING|(?i:XXXX|undefined|null|\bnone\b|\bnil\b|\bnan\b|\(insert|here\)|\bTK\b)")
-_TRIGGERS = ("{", "}", "%", "<", "[", "__", "~~", "missing_", "@@", "##", "***", "xxxx", "undefined", "null", "none", "nil", "nan", "(insert", "here)", "tk", "*|", "todo", "fixme", "$", "_", "????")
+#: Cheap look for marks that could belong to a slot, before the exact checks; notes in round brackets need none.
+_MARKS = re.compile(r"[{}<\[_~]|%[A-Za-z(]|%%|\$[A-Za-z{]|##|@@|\*\*|\*\||\?{4}|TODO|FIXME|MISSING|(?i:XXXX|undefined|null|\bnone\b|\bnil\b|\bnan\b|\bTK\b)")
+_TRIGGERS = ("{", "}", "%", "<", "[", "__", "~~", "missing_", "@@", "##", "***", "xxxx", "undefined", "null", "none", "nil", "nan", "tk", "*|", "todo", "fixme", "$", "_", "????")
 _BOILER = re.compile(
     r"^\W*$|[|>·›»•].*[|>·›»•]|^\W*(?:©|\(c\)|copyright)|all rights reserved|^published by\b|^(?:menu|search|sign in|log in|newsletter|follow us|rss|share|contact|privacy|terms|skip to content|back to top|home|suche|buscar|rechercher|traži|izbornik|menü|menú)\W*$"
     r"|^(?:[\w-]+\.)+(?:example|com|org|net|tv|hr|es|de|fr)\W*$|^(?:[a-z]{2}\s+)+[a-z]{2}$|^(?:home|start(?:seite)?|inicio|accueil|naslovnica)\s*[>|›]|^(?:nginx|apache|proxy|cloudflare|openresty)[/\d.]*$",
@@ -193,7 +193,7 @@ def open_slot(text: str) -> bool:
             return True
         if (name in FIELDS or name in _FIELD_NAMES) and (inner.islower() or inner.isupper() or not quoted):
             return True
-    if _ROUND.search(text) or any(all(w in _FIELD_WORDS for w in m[0].lower().split("_")) for m in _LEAKED.finditer(text)):
+    if any(all(w in _FIELD_WORDS for w in m[0].lower().split("_")) for m in _LEAKED.finditer(text)):
         return True
     for m in _TAG.finditer(text):
         if m[1].casefold() not in HTML and f"</{m[1]}" not in text:
@@ -299,7 +299,7 @@ def residue(text: str | None) -> str | None:
         return None
     low = text.lower()
     kinds = set().union(*{kind for _, (kind, _) in automaton().iter(low)})
-    if "slot" in kinds and _MARKS.search(text) and open_slot(text):
+    if "slot" in kinds and _MARKS.search(text) and open_slot(text) or _ROUND.search(text):
         return "slot"
     if is_filler(text, kinds):
         return "filler"

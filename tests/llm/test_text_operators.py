@@ -233,6 +233,11 @@ def test_residue(text, kind):
     assert R.residue(text) == kind
 
 
+@pytest.mark.parametrize("note", ["(quote to come)", "(placeholder)", "(add photo)", "(Zitat folgt)", "(aquí va la cita)", "(por añadir)", "(à compléter)", "(ovdje ide citat)", "(insert name)"])
+def test_note_in_round_brackets(note):
+    assert R.residue(f"Paper Ferry is back. {note} It starts in May.") == "slot"
+
+
 LONG_MARKUP = "<html><head>\n<style>\n" + "".join(f".card{i} {{ color: red; margin: {i}px auto }}\n" for i in range(80)) + "</style><script>" + "".join(f"window.app{i} = load('shows');\n" for i in range(40)) + "</script></head>\n"
 TRACE = "HTTP Status 500 - Internal Server Error\nException in thread \"main\" java.lang.NullPointerException\n" + "\n".join(f"\tat tv.paper.web.Page$View{i}.render(Page.java:{i})" for i in range(90))
 
