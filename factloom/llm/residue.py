@@ -99,9 +99,10 @@ _FIELD_NAMES = {f.replace("_", "").replace(" ", "") for f in FIELDS}
 _FIELD_WORDS = {w for f in FIELDS for w in f.replace("_", " ").split()}
 _PLAIN = r"[^\W\d]\w*(?:[.|]\s?\w+)*"
 _NAME = _PLAIN + r"(?:\[\d+\])?"
-#: Slots that need no further look: openers of template languages with what belongs into them.
+#: Slots that need no further look: openers of template languages with what belongs into them, whatever its
+#: length; it holds no further opener, so that openers without closer cost no more than one look at the text.
 SLOT = re.compile(
-    r"\{\{.{0,100}?\}\}|\$\{.{0,80}?\}|\{%.{0,100}?%\}|<%.{0,100}?%>|<\?.{0,120}?\?>|<!--\s*#\s?\w+.{0,100}?(?:-->|$)|<!--\s*[\w.]+(?:\[\d+\])?\s*-->|\*\|.{1,60}?\|\*|\[%.{0,80}?%\]|\{\$\w[\w.>-]*\}|%%\w+%%|\$[A-Za-z_][\w.]{2,40}(?:\[\d+\])?\$|~~[A-Za-z_][\w.]*(?:\[\d+\])?~~|\bMISSING_[A-Z]+\b|\[INSERT [^\n]{1,60}? HERE\]|\$[A-Z]{2,}(?:_[A-Z]+)+\b|\bTODO\s*:|\bFIXME\b|%\([\w.]+(?:\[\d+\])?\)[sd]|(?<![\w%])%[sd](?!\w)|%[A-Za-z_]{3,40}%|#\{.{1,60}?\}"
+    r"\{\{(?:(?!\{\{|\}\}).)*\}\}|\$\{(?:(?!\$\{)[^}])*\}|\{%(?:(?!\{%|%\}).)*%\}|<%(?:(?!<%|%>).)*%>|<\?(?:(?!<\?|\?>).)*\?>|<!--\s*#\s?\w+(?:(?!<!--|-->).)*(?:-->|$)|<!--\s*[\w.]+(?:\[\d+\])?\s*-->|\*\|(?:(?!\*\||\|\*).)+\|\*|\[%(?:(?!\[%|%\]).)*%\]|\{\$\w[\w.>-]*\}|%%\w+%%|\$[A-Za-z_][\w.]{2,40}(?:\[\d+\])?\$|~~[A-Za-z_][\w.]*(?:\[\d+\])?~~|\bMISSING_[A-Z]+\b|\[INSERT [^\n]{1,60}? HERE\]|\$[A-Z]{2,}(?:_[A-Z]+)+\b|\bTODO\s*:|\bFIXME\b|%\([\w.]+(?:\[\d+\])?\)[sd]|(?<![\w%])%[sd](?!\w)|%[A-Za-z_]{3,40}%|#\{(?:(?!#\{)[^}])+\}"
     rf"|\[\s*{_PLAIN}\[\d+\]\s*\]|\[\[\s*{_NAME}(?::\w+)?\s*\]\]|__{_NAME}__|@@{_NAME}@@|\#\#+{_NAME}\#\#+|<<\s*{_NAME}\s*>>|\[object \w+\]|\*\*\*[^*\n]{{0,60}}(?:goes here|to come|here)\s*\*\*\*|\bTK TK\b|(?<!\w)X{{4,}}(?!\w)|(?<!\w)NaN(?!\w)|(?<![?!\w])\?{{4,}}(?![?!])",
     re.IGNORECASE | re.DOTALL,
 )

@@ -238,6 +238,13 @@ def test_note_in_round_brackets(note):
     assert R.residue(f"Paper Ferry is back. {note} It starts in May.") == "slot"
 
 
+@pytest.mark.parametrize("opener, closer", [("{{", "}}"), ("${", "}"), ("{%", "%}"), ("<%", "%>"), ("<?", "?>"), ("[%", "%]"), ("#{", "}"), ("*|", "|*"), ("<!--#echo ", "-->")])
+def test_long_slot(opener, closer):
+    inner = "if show.season | default('x') " * 12
+    assert R.residue(f"{REAL}{opener} {inner}{closer} {REAL}" + "More of it. " * 20) == "slot"
+    assert R.SLOT.search(f"{opener} a " * 20_000) is None or opener == "<!--#echo "
+
+
 LONG_MARKUP = "<html><head>\n<style>\n" + "".join(f".card{i} {{ color: red; margin: {i}px auto }}\n" for i in range(80)) + "</style><script>" + "".join(f"window.app{i} = load('shows');\n" for i in range(40)) + "</script></head>\n"
 TRACE = "HTTP Status 500 - Internal Server Error\nException in thread \"main\" java.lang.NullPointerException\n" + "\n".join(f"\tat tv.paper.web.Page$View{i}.render(Page.java:{i})" for i in range(90))
 
