@@ -15,7 +15,8 @@ damage (:data:`DAMAGED`); records that the first model doubts are taken out of t
 Scoring works on tokens between plain spaces, with a bounded cache, since words repeat. Chains:
 
 * utf8: UTF-8 read as a one-byte encoding, up to three times over, in each run of non-ASCII signs;
-* legacy: one legacy encoding read as another, UTF-16 read in place of ASCII;
+* legacy: every one-byte or Japanese legacy encoding of :data:`LEGACY` read as any one-byte one, UTF-16 read in
+  place of ASCII or the other way round, UTF-7 left as it is;
 * lossy: UTF-8 read as a one-byte encoding, with control characters dropped or blanks changed afterwards.
   The bytes are gone; the likeliest filling from the characters of the clean records is proposed.
 
@@ -26,6 +27,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,13 +40,25 @@ from pyspark.sql import functions as F
 
 # Names of the encodings that take part.
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac-roman", "cp852", "koi8-r", "iso8859-2", "cp1253", "cp1254", "iso8859-15", "cp866")
-LEGACY = (
+ONE_BYTE = (
+    *WRONG, "iso8859-5", "mac-cyrillic", "koi8-u", "iso8859-7", "cp737", "mac-greek", "iso8859-9", "cp857", "mac-turkish", "cp1257", "cp1258",
+    "mac-latin2", "iso8859-16", "cp861", "mac-iceland",
+)
+#: Meant encodings whose signs and bytes aren't one to one, Vietnamese with its tones apart included.
+SINGLE, MIXED = tuple(w for w in ONE_BYTE if w != "cp1258"), ("cp1258", "shift_jis", "euc_jp")
+#: Every legacy encoding of the languages present read as every other one, row by row.
+LEGACY = tuple((w, meant) for w in ONE_BYTE for meant in (*SINGLE, *MIXED))
+#: Confusions that are met more often than the rest, which pay for their number (nats).
+COMMON = (
     ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1251", "iso8859-5"), ("cp1251", "mac-cyrillic"),
     ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "cp1253"), ("cp1251", "cp1253"), ("cp1253", "cp1251"), ("latin-1", "iso8859-5"),
     ("cp1252", "shift_jis"), ("cp437", "shift_jis"), ("mac-roman", "shift_jis"), ("cp1251", "shift_jis"), ("cp1252", "euc_jp"),
     ("cp1252", "cp1250"), ("cp1250", "cp1252"), ("cp1252", "cp1254"), ("cp1252", "mac-roman"), ("mac-roman", "cp1252"), ("cp437", "cp1252"), ("cp1252", "cp437"),
     ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1251", "cp1252"), ("cp852", "cp1250"), ("cp1250", "cp852"), ("cp1252", "cp1257"), ("cp1252", "iso8859-2"),
 )
+RARE = math.log(len(LEGACY) / len(COMMON))
+#: What can be garbled at all: signs beyond ASCII, control characters (UTF-16 read as one-byte text), UTF-7.
+REACHED = r"[^\t\n\r\x20-\x7E]|\+[A-Za-z0-9+/]{3,}"
 
 BITS3, BITS2, BITS1 = 20, 18, 16
 SIZE = (1 << BITS3) + (1 << BITS2) + (1 << BITS1)
@@ -78,7 +93,14 @@ def byte_table(encoding: str) -> list[str]:
 
 
 def _class(chars: list[str]) -> str:
-    return "[" + "".join(re.escape(c) for c in chars) + "]"
+    """A character class, in ranges: regular expressions of the JVM try its parts one by one."""
+    runs: list[list[int]] = []
+    for code in sorted({ord(c) for c in chars}):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs) + "]"
 
 
 def utf8_shape(encoding: str) -> str:
@@ -133,8 +155,10 @@ class Model:
     def score(self, token: str) -> float:
         """Of a token between spaces; its first character is judged after the space alone."""
         codes = [32, *map(ord, token), 32]
-        first = (float(self.c2[hash2(32, codes[1])]) + 0.5) / (float(self.c1[32]) + 0.5 * (1 << BITS1))
-        return math.log(first) + sum(map(self.char, codes, codes[1:], codes[2:]))
+        return self.first(codes[1]) + sum(map(self.char, codes, codes[1:], codes[2:]))
+
+    def first(self, c: int) -> float:
+        return math.log((float(self.c2[hash2(32, c)]) + 0.5) / (float(self.c1[32]) + 0.5 * (1 << BITS1)))
 
 
 def hash1(c: int) -> int:
@@ -166,7 +190,7 @@ def count_into(table: np.ndarray, texts: list[str]) -> None:
 
 
 def is_damaged(text: Column) -> Column:
-    return text.rlike(DAMAGED)
+    return text.rlike(DAMAGED) | text.rlike(r"[\x00-\x08]|\+[A-Za-z0-9+/]{3,}-")
 
 
 def train(texts: DataFrame) -> np.ndarray:
@@ -196,13 +220,17 @@ class Chains:
     def __init__(self, counts: np.ndarray, token_gain: float = TOKEN_GAIN) -> None:
         self.model, self.token_gain = Model(counts), token_gain
         self.back = {}
-        for w in {*WRONG, *(w for w, _ in LEGACY)}:
+        for w in ONE_BYTE:
             self.back[w] = {c: 0x80 + i for i, c in reversed(list(enumerate(byte_table(w))))}
         self.runs = {w: re.compile(_class(list(self.back[w])) + "+") for w in self.back}
         self.shapes = {w: re.compile(utf8_shape(w)) for w in WRONG}
         self.lossy = {w: self._lossy(w) for w in ("latin-1", "cp1252", "cp1250")}
         self.gains = lru_cache(maxsize=1 << 17)(self._gains)
-        self.gainful = lru_cache(maxsize=1 << 18)(lambda token: any(gain >= self.token_gain for _, gain in self.gains(token).values()))
+        self.legacy = lru_cache(maxsize=1 << 15)(self._legacy)
+        self.read_as = lru_cache(maxsize=1 << 13)(self._read_as)
+        self.gainful = lru_cache(maxsize=1 << 18)(self._gainful)
+        self.unseen = math.log(0.05 / (self.model.total + 0.05 * (1 << BITS1))) - UNKNOWN
+        self.cost = np.array([0.0 if pair in COMMON else RARE for pair in LEGACY], dtype=np.float32)
 
     def _lossy(self, encoding: str) -> tuple[re.Pattern, dict[str, list[str]]]:
         """What is left of each known character when its bytes are shown and some of them lost."""
@@ -254,16 +282,78 @@ class Chains:
                         for chain, again in self._utf8_all(mended, depth - 1):
                             yield f"{chain}<{w}", again
 
-    def _legacy_all(self, token: str) -> Iterator[tuple[str, str]]:
-        for w, meant in LEGACY:
+    def _read_as(self, signs: str) -> tuple[list[str], np.ndarray]:
+        """Candidates of non-ASCII signs by every pair of one-byte encodings, and the candidate of each pair; 0 is none."""
+        found, place, raws = {None: 0}, np.zeros((len(ONE_BYTE), len(SINGLE) + len(MIXED)), dtype=np.int16), {}
+        for i, w in enumerate(ONE_BYTE):
+            raw = self._encode(signs, w)
+            if raw is None:
+                continue
+            if raw not in raws:
+                raws[raw] = i
+                for j, meant in enumerate(SINGLE):
+                    mended = _decoded(raw, meant)
+                    if mended is not None and mended != signs:
+                        place[i, j] = found.setdefault(mended, len(found))
+            else:
+                place[i] = place[raws[raw]]
+        return list(found), place.ravel()
+
+    def _legacy(self, token: str) -> np.ndarray:
+        """Gain of each pair of :data:`LEGACY` for a token, 0 where it can't be read so."""
+        at = [i for i, c in enumerate(token) if c > "\x7f"]
+        if not at:
+            return _NO_GAINS
+        model, codes = self.model, [32, *map(ord, token), 32]
+        # The n-grams that change: those around the signs, the first place being the token's first sign alone.
+        places = sorted({j for i in at for j in (i, i + 1, i + 2) if j <= len(token) and (j or at[0] == 0)})
+
+        def terms(codes: list[int]) -> float:
+            return sum(model.char(codes[j - 1], codes[j], codes[j + 1]) if j else model.first(codes[1]) for j in places)
+
+        own = terms(codes)
+        found, place = self.read_as("".join(token[i] for i in at))
+        gains = np.zeros(len(found), dtype=np.float32)
+        for n, mended in enumerate(found[1:], 1):
+            strange = sum(model.c1[hash1(ord(c))] == 0 for c in set(mended) - set(token))
+            # No candidate with these unknown characters can gain more; far below zero that is all there is to know.
+            most = strange * self.unseen - own
+            if strange and most < -UNKNOWN:
+                gains[n] = most
+                continue
+            for i, c in zip(at, mended, strict=True):
+                codes[i + 1] = ord(c)
+            gains[n] = terms(codes) - own - UNKNOWN * strange
+        out = gains[place]
+        for i, w in enumerate(ONE_BYTE):
             raw = self._encode(token, w)
-            if raw is not None:
-                try:
-                    mended = raw.decode(meant)
-                except UnicodeDecodeError:
-                    continue
-                if mended != token:
-                    yield f"{meant}<{w}", mended
+            for j, meant in enumerate(MIXED, len(SINGLE)) if raw is not None else ():
+                mended = _decoded(raw, meant)
+                if mended is not None and mended != token:
+                    out[i * (len(SINGLE) + len(MIXED)) + j] = self._gain(token, mended)
+        return out
+
+    def _gain(self, token: str, candidate: str) -> float:
+        strange = sum(self.model.c1[hash1(ord(c))] == 0 for c in set(candidate) - set(token))
+        return self.model.score(candidate) - self.model.score(token) - UNKNOWN * strange
+
+    def mended(self, token: str, pair: int) -> str:
+        """The token by a pair of :data:`LEGACY`; itself if it can't be read so."""
+        w, meant = LEGACY[pair]
+        raw = None if token.isascii() else self._encode(token, w)
+        mended = None if raw is None else _decoded(raw, meant)
+        return token if mended is None else mended
+
+    def _gainful(self, token: str) -> bool:
+        return bool((self.legacy(token) >= self.token_gain).any()) or any(gain >= self.token_gain for _, gain in self.gains(token).values())
+
+    def _wide_all(self, token: str) -> Iterator[tuple[str, str]]:
+        if "\0" in token:
+            yield "ascii<utf-16<latin-1", token.replace("\0", "")
+        if "+" in token:
+            mended = _UTF7.sub(_of_utf7, token)
+            if mended != token:
+                yield "utf-7<ascii", mended
         for order in ("utf-16-le", "utf-16-be"):
             mended = _PAIRS.sub(lambda m: _ascii_of(m[0], order), token)
             if mended != token:
@@ -283,14 +373,12 @@ class Chains:
 
     def _gains(self, token: str) -> dict[str, tuple[str, float]]:
         """Chain -> (candidate, gain in nats) of a token's candidates, worse ones too."""
-        if token.isascii():
+        if not _REACHED.search(token):
             return {}
-        own, found = None, {}
-        for chain, candidate in (*self._utf8_all(token), *self._legacy_all(token), *self._lossy_all(token)):
+        found: dict[str, tuple[str, float]] = {}
+        for chain, candidate in (*self._utf8_all(token), *self._wide_all(token), *self._lossy_all(token)):
             if chain not in found:
-                own = self.model.score(token) if own is None else own
-                strange = sum(self.model.c1[hash1(ord(c))] == 0 for c in set(candidate) - set(token))
-                found[chain] = (candidate, self.model.score(candidate) - own - UNKNOWN * strange)
+                found[chain] = (candidate, self._gain(token, candidate))
         return found
 
     def best(self, text: str) -> dict[str, tuple[str, float, str]]:
@@ -299,7 +387,8 @@ class Chains:
         ``whole`` and ``utf8``, ``lossy``: see :data:`KINDS`.
         """
         tokens = text.split(" ")
-        if not any(not t.isascii() and self.gainful(t) for t in tokens):
+        wide = self._wide(text) if _CONTROLS.search(text) else None
+        if wide is None and not any(_REACHED.search(t) and self.gainful(t) for t in tokens):
             return {}
         told = [self.gains(t) for t in tokens]
         parts: dict[str, float] = {}
@@ -315,10 +404,64 @@ class Chains:
             for kind, gain in ((kind, gain), ("whole", wholes[chain])) if kind == "legacy" else ((kind, gain),):
                 if gain > out.get(kind, ("", 0.0))[1]:
                     out[kind] = (chain, gain)
-        return {
+        best = {
             kind: (chain, gain, " ".join(g[chain][0] if chain in g and (kind == "whole" or g[chain][1] >= self.token_gain) else t for t, g in zip(tokens, told, strict=True)))
             for kind, (chain, gain) in out.items()
         }
+        rows = [self.legacy(t) for t in tokens if not t.isascii()]
+        if rows:
+            gained = sum(np.where(r >= self.token_gain, r, 0) for r in rows)
+            for kind, sums in (("legacy", gained), ("whole", np.where(gained > 0, sum(rows), 0))):
+                pair = int(np.argmax(sums - self.cost))
+                gain = float(sums[pair] - self.cost[pair])
+                if gain > 0 and gain > best.get(kind, ("", 0.0))[1]:
+                    fixed = (self.mended(t, pair) if not t.isascii() and (kind == "whole" or self.legacy(t)[pair] >= self.token_gain) else t for t in tokens)
+                    best[kind] = ("<".join(LEGACY[pair][::-1]), gain, " ".join(fixed))
+        if wide is not None and wide[1] > best.get("whole", ("", 0.0))[1]:
+            best["whole"] = wide
+        return best
+
+    def _wide(self, text: str) -> tuple[str, float, str] | None:
+        """A whole text in UTF-16 that was read as one-byte text."""
+        own, found = sum(map(self.model.score, text.split(" "))), []
+        for w in ONE_BYTE:
+            raw = self._encode(text, w)
+            for order in ("utf-16-le", "utf-16-be") if raw is not None else ():
+                mended = _decoded(raw[: len(raw) // 2 * 2], order)
+                if mended:
+                    strange = sum(self.model.c1[hash1(ord(c))] == 0 for c in set(mended) - set(text))
+                    found.append((f"{order}<{w}", sum(map(self.model.score, mended.split(" "))) - own - UNKNOWN * strange, mended))
+        best = max(found, key=lambda f: f[1], default=("", 0.0, ""))
+        return best if best[1] > 0 else None
+
+
+_NO_GAINS = np.zeros(len(LEGACY), dtype=np.float32)
+_REACHED, _CONTROLS = re.compile(REACHED), re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_UTF7 = re.compile(r"\+[A-Za-z0-9+/]{3,}-?")
+
+
+def _of_utf7(match: re.Match) -> str:
+    mended = _decoded(match[0].encode(), "utf-7")
+    return mended if mended and mended.isprintable() else match[0]
+
+
+def _decoded(raw: bytes, meant: str) -> str | None:
+    try:
+        text = raw.decode(meant)
+    except UnicodeError:
+        return None
+    return unicodedata.normalize("NFC", text) if meant == "cp1258" else text
+
+
+_MADE: dict[str, Chains] = {}
+
+
+def _made(name: str, shared, token_gain: float = TOKEN_GAIN) -> Chains:
+    """One ``Chains`` for each worker process and use, so that its tasks share what is known of tokens."""
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = Chains(shared.value, token_gain)
+    return _MADE[name]
 
 
 def _ascii_of(run: str, order: str) -> str:
@@ -362,16 +505,16 @@ def corruptions(text: str) -> Iterator[tuple[str, str]]:
 
 
 def tally(spark: SparkSession, counts: np.ndarray, clean: DataFrame) -> np.ndarray:
-    """Histograms of the gains of ``clean`` texts and of their corruptions: (which, kind, place) -> texts.
+    """Histograms of the gains of ``clean`` texts and of one corruption of each: (which, kind, place) -> texts.
 
     Place 0 is no gain, place i a gain of at least (i - 1) * ``STEP``. Scored where the texts are; only the
     histograms, of fixed size, reach the driver.
     """
-    shared = spark.sparkContext.broadcast(counts)
+    shared, made = spark.sparkContext.broadcast(counts), uuid.uuid4().hex
     shape = (2, len(KINDS), PLACES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains, seen = Chains(shared.value), np.zeros(shape, dtype=np.int64)
+        chains, seen = _made(made, shared), np.zeros(shape, dtype=np.int64)
 
         def add(which: int, kind: str, gain: float) -> None:
             seen[which, KINDS.index(kind), min(int(gain / STEP) + 1, PLACES - 1) if gain > 0 else 0] += 1
@@ -381,7 +524,8 @@ def tally(spark: SparkSession, counts: np.ndarray, clean: DataFrame) -> np.ndarr
                 told = chains.best(text)
                 for kind in KINDS:
                     add(0, kind, told[kind][1] if kind in told else 0.0)
-                for kind, garbled in corruptions(text):
+                made_of = list(corruptions(text))
+                for kind, garbled in made_of[zlib.crc32(text.encode("utf-8", "replace")[::-1]) % 4 :][:1]:
                     if garbled != text:
                         add(1, kind, chains.best(garbled).get(kind, ("", 0.0, ""))[1])
         at = np.flatnonzero(seen)
@@ -431,10 +575,10 @@ def retrain(spark: SparkSession, texts: DataFrame, counts: np.ndarray) -> np.nda
     wrong one made their way into its training: the more data, the more often the wrong spelling is seen. So
     the n-grams of the records that a whole-text chain makes likelier by ``DOUBT`` are taken out again.
     """
-    shared = spark.sparkContext.broadcast(counts)
+    shared, made = spark.sparkContext.broadcast(counts), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains, table = Chains(shared.value, DOUBT_TOKEN), np.zeros(SIZE, dtype=np.int64)
+        chains, table = _made(made, shared, DOUBT_TOKEN), np.zeros(SIZE, dtype=np.int64)
         doubtful = lru_cache(maxsize=1 << 14)(lambda t: any(gain >= DOUBT[k] for k, (_, gain, _) in chains.best(t).items() if k in DOUBT))
         for batch in batches:
             count_into(table, [t for t in batch.column(0).to_pylist() if doubtful(t)])
@@ -442,7 +586,7 @@ def retrain(spark: SparkSession, texts: DataFrame, counts: np.ndarray) -> np.nda
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["at", "n"])
 
     column = texts.columns[0]
-    doubts = texts.where(F.col(column).rlike("[^\\x00-\\x7F]")).mapInArrow(count, "at int, n long")
+    doubts = texts.where(F.col(column).rlike(REACHED)).mapInArrow(count, "at int, n long")
     return np.maximum(counts - _summed(doubts), 0).astype(np.float32)
 
 
@@ -453,27 +597,26 @@ def fit(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, dict[str, fl
     clean = F.col(column).isNotNull() & ~is_damaged(F.col(column))
     training = texts.where((part != 0) & clean)
     counts = retrain(spark, training, train(training))
-    held_out = texts.where((part == 0) & F.col(column).rlike("[^\\x00-\\x7F]") & clean).distinct().repartition(spark.sparkContext.defaultParallelism)
+    held_out = texts.where((part == 0) & F.col(column).rlike(REACHED) & clean).distinct().repartition(spark.sparkContext.defaultParallelism)
     return counts, margins(spark, counts, held_out)
 
 
 def find_garbled(spark: SparkSession, records: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """The records whose ``text`` was wholly or partly decoded with the wrong encoding.
 
-    Returns ``keys``, original, chain and restored (null where the bytes are lost). Null, empty and pure
+    Returns ``keys``, original, chain and restored (null where the bytes are lost). Null, empty and plain
     ASCII texts are right as they are and never reach Python. Repeated records count each. The model is
     fitted on the clean ones among ``records``; with none at all nothing but U+FFFD can be told.
     The only data on the driver are the count table and the validation's histograms, both of fixed size.
     """
     counts, limits = fit(spark, records.select(text))
-    shared = spark.sparkContext.broadcast((counts, limits))
-    slim = records.select(*keys, F.col(text).alias("original")).where(F.col("original").rlike("[^\\x00-\\x7F]"))
+    shared, made = spark.sparkContext.broadcast(counts), uuid.uuid4().hex
+    slim = records.select(*keys, F.col(text).alias("original")).where(F.col("original").rlike(REACHED))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema), "chain string", "restored string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, most = shared.value
-        chains = Chains(table)
-        judge = lru_cache(maxsize=1 << 14)(lambda t: verdict(chains, most, t))
+        chains = _made(made, shared)
+        judge = lru_cache(maxsize=1 << 14)(lambda t: verdict(chains, limits, t))
         for batch in batches:
             told = [judge(t) for t in batch.column(len(keys)).to_pylist()]
             at = [i for i, v in enumerate(told) if v is not None]

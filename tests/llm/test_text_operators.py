@@ -175,6 +175,38 @@ def test_other_chains(chains):
     assert E.verdict(chains, E.MARGINS, "A�n quedan") == ("lost", None)
 
 
+@pytest.mark.parametrize("text, meant, wrong", [
+    (CLEAN[4], "cp1250", "cp437"), (CLEAN[4], "cp1250", "cp1251"), (CLEAN[5], "cp1251", "cp1250"), (CLEAN[5], "cp1251", "mac-roman"), (CLEAN[5], "iso8859-5", "cp1253"),
+    ("Šesta sezona stiže", "cp1250", "latin-1"), ("Η νέα σεζόν έρχεται", "cp1253", "cp1250"), ("Η νέα σεζόν έρχεται", "iso8859-7", "cp1252"),
+    (CLEAN[0], "utf-16-le", "cp1252"), (CLEAN[5], "utf-16-be", "latin-1"), ("The End is back", "utf-16-le", "cp1252"),
+])
+def test_any_pair_of_encodings(text, meant, wrong):
+    import numpy as np
+
+    table = np.zeros(E.SIZE, dtype=np.int64)
+    E.count_into(table, [*CLEAN, "Šesta sezona stiže", "Η νέα σεζόν έρχεται", "The End is back"] * 40)
+    assert E.verdict(E.Chains(table.astype(np.float32)), E.MARGINS, broken(text, meant, wrong))[1] == text
+
+
+def test_vietnamese_and_utf7():
+    import numpy as np
+
+    text, table = "Phần tiếp theo của loạt phim", np.zeros(E.SIZE, dtype=np.int64)
+    E.count_into(table, [*CLEAN, text] * 40)
+    chains = E.Chains(table.astype(np.float32))
+    # Vietnamese bytes hold the tone apart from the letter.
+    bytes_of = {"ầ": b"\xe2\xcc", "ế": b"\xea\xec", "ủ": b"u\xd2", "ạ": b"a\xf2"}
+    raw = b"".join(bytes_of.get(c) or c.encode("cp1258") for c in text)
+    assert E.verdict(chains, E.MARGINS, raw.decode("cp1252"))[1] == text
+    assert E.verdict(chains, E.MARGINS, CLEAN[0].encode("utf-7").decode("ascii"))[1] == CLEAN[0]
+
+
+def test_garbled_ascii_reaches_the_model_in_spark(spark):
+    rows = [(i, t) for i, t in enumerate(CLEAN * 20)] + [(1000, broken("Más suspense", "utf-16-le", "cp1252")), (1001, CLEAN[0].encode("utf-7").decode("ascii")), (1002, "ascii + more")]
+    got = E.find_garbled(spark, spark.createDataFrame(rows, "id int, t string"), "t", ["id"]).collect()
+    assert sorted(r.id for r in got) == [1000, 1001]
+
+
 def test_hash_tables_agree():
     import numpy as np
 
