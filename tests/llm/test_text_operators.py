@@ -122,6 +122,11 @@ def test_forms_are_stable_and_ascii_is_itself(spelling):
         assert spelling.of(spelling.of(text)) == spelling.of(text)
 
 
+@pytest.mark.parametrize("a, b", [("力メラ", "カメラ"), ("口ボット", "ロボット"), ("工ース", "エース"), ("二ュース", "ニュース"), ("夕ワー", "タワー"), ("ハー卜", "ハート"), ("八ート", "ハート"), ("カの灯台", "力の灯台")])
+def test_ideographs_look_like_kana(spelling, a, b):
+    assert spelling.of(a) == spelling.of(b) and spelling.of("ハート") == "ハート" and spelling.of("灯台") != spelling.of("灯合")
+
+
 def test_names_that_look(spark):
     names = spark.createDataFrame([(1, "Paper Ferry"), (1, "Café"), (2, "Sea"), (3, None)], "key int, name string")
     rows = [(1, "Paper Ferry", "n"), (1, "Pаper Ferry", "y"), (1, "Pаper Ferry", "y"), (2, "Paper Ferry", "other key"), (None, "Sеa", "null key"), (2, None, "null text"), (2, "Sеa", "y"), (1, "PAPER FERRY", "case"), (9, "Sea", "no names")]
