@@ -14,6 +14,7 @@ they may be spread over several runs, hence the chain is only resolved when runs
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,9 +82,13 @@ class MergeTable:
     def _write(self, entries: DataFrame, name: str) -> None:
         entries.sortWithinPartitions("key", "seq").write.mode("overwrite").parquet(f"{self.path}/{name}")
 
+    def _next(self) -> int:
+        """A number greater than those of all runs listed, so that no run is written over one that is read."""
+        return 1 + max((int(m[1]) for m in (re.match(r"[a-z]+-(\d+)", r) for r in self.runs) if m), default=-1)
+
     def append(self, entries: DataFrame, name: str | None = None) -> None:
         """Add ``entries`` as one sorted run."""
-        name = name or f"run-{len(self.runs):06d}"
+        name = name or f"run-{self._next():06d}"
         if name in self.runs:
             raise ValueError(f"run {name} is there already")
         self._write(newest(entries, "key"), name)
@@ -95,27 +100,26 @@ class MergeTable:
         """Add ``entries`` as several sorted runs in one job, one for each value of ``run``.
 
         ``run`` should be something like the month of receipt, so that runs are few and each
-        late delivery comes in a run of its own time.
+        late delivery comes in a run of its own time. Each of them is listed and counts for the fanout.
         """
-        name = f"runs-{len(self.runs):06d}"
+        name = f"runs-{self._next():06d}"
         kept = newest(entries.withColumn("run", run), "run", "key")
         kept.sortWithinPartitions("run", "key", "seq").write.mode("overwrite").partitionBy("run").parquet(f"{self.path}/{name}")
-        self._list([*self.runs, name])
+        _, fs = self._file()
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        written = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
+        if not written:
+            return self.append(entries)
+        self._list([*self.runs, *(f"{name}/{w}" for w in written)])
         if len(self.runs) > self.fanout:
             self.compact()
 
-    def _entries(self, schema) -> DataFrame | None:
-        parts = [self.spark.read.parquet(f"{self.path}/{r}") for r in self.runs]
-        if not parts:
-            return None
-        out = parts[0].drop("run")
-        for p in parts[1:]:
-            out = out.unionByName(p.drop("run"))
-        return out
+    def _entries(self) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{r}" for r in self.runs)).drop("run")
 
     def merged(self) -> DataFrame:
-        """Each key's newest entries over all runs (k-way merge on key and sequence)."""
-        return newest(self._entries(None), "key")
+        """Each key's newest entries over all runs, which a shuffle on the key brings together."""
+        return newest(self._entries(), "key")
 
     def current(self) -> DataFrame:
         """Rows (key, seq, record) in force: the newest change's record, without withdrawn keys."""
@@ -129,7 +133,7 @@ class MergeTable:
 
     def compact(self) -> None:
         """Replace all runs by one. Tombstones stay, since a late run may hold older changes of the key."""
-        name = f"level-{int(self.runs[-1].split('-')[-1]) + 1:06d}"
+        name = f"level-{self._next():06d}"
         self._write(self.merged(), name)
         self._list([name])
 

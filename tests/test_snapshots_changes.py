@@ -76,6 +76,28 @@ def test_against_replay(spark, tmp_path):
     assert current(table.current()) == sorted(v for v in state.values() if v)
 
 
+def test_each_run_counts_for_the_fanout(spark, tmp_path):
+    def changes(first):
+        return feed(spark, [(1, f"2026-01-{first + i:02}T00:00:00Z", r(f"v{first + i - 1}"), r(f"v{first + i}"), i) for i in range(4)])
+
+    table = MergeTable(spark, f"file://{tmp_path}/t", fanout=4)
+    table.append_by(changes(1), F.col("got"))
+    assert len(table.runs) == 4 and current(table.current()) == [(1, "v4")]
+    for first in (5, 9, 13):
+        table.append_by(changes(first), F.col("got"))
+        assert len(table.runs) == 1 and current(table.current()) == [(1, f"v{first + 3}")]
+    assert MergeTable(spark, f"file://{tmp_path}/t").runs == table.runs
+    table.append_by(feed(spark, []), F.col("got"))
+    assert current(table.current()) == [(1, "v16")]
+
+
+def test_compaction_never_overwrites_what_it_reads(spark, tmp_path):
+    table = MergeTable(spark, f"file://{tmp_path}/t", fanout=1)
+    for i in range(1, 5):
+        table.append(feed(spark, [(1, f"2026-01-0{i}T00:00:00Z", r(f"v{i - 1}"), r(f"v{i}"), 1)]))
+        assert len(table.runs) == 1 and current(table.current()) == [(1, f"v{i}")]
+
+
 def test_empty_feed(spark, tmp_path):
     table = MergeTable(spark, f"file://{tmp_path}/t")
     table.append(feed(spark, []))
