@@ -230,6 +230,8 @@ class Chains:
         self.read_as = lru_cache(maxsize=1 << 13)(self._read_as)
         self.gainful = lru_cache(maxsize=1 << 18)(self._gainful)
         self.unseen = math.log(0.05 / (self.model.total + 0.05 * (1 << BITS1))) - UNKNOWN
+        #: By how much less an unknown character can cost as a token's first one, which is smoothed otherwise.
+        self.at_first = max(0.0, math.log(0.5 / (float(self.model.c1[32]) + 0.5 * (1 << BITS1))) - UNKNOWN - self.unseen)
         self.cost = np.array([0.0 if pair in COMMON else RARE for pair in LEGACY], dtype=np.float32)
 
     def _lossy(self, encoding: str) -> tuple[re.Pattern, dict[str, list[str]]]:
@@ -316,8 +318,8 @@ class Chains:
         gains = np.zeros(len(found), dtype=np.float32)
         for n, mended in enumerate(found[1:], 1):
             strange = sum(model.c1[hash1(ord(c))] == 0 for c in set(mended) - set(token))
-            # No candidate with these unknown characters can gain more; far below zero that is all there is to know.
-            most = strange * self.unseen - own
+            # But for collisions in the hash tables no candidate with these unknown characters gains more; far below zero that is all there is to know.
+            most = strange * self.unseen - own + (self.at_first if at[0] == 0 else 0.0)
             if strange and most < -UNKNOWN:
                 gains[n] = most
                 continue
