@@ -46,6 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import shared_dir
+
 # Names of the encodings that take part.
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac-roman", "cp852", "koi8-r", "iso8859-2", "cp1253", "cp1254", "iso8859-15", "cp866")
 ONE_BYTE = (
@@ -71,6 +73,8 @@ RARE = math.log(len(LEGACY) / len(COMMON))
 REACHED = r"[^\t\n\r\x20-\x7E]|\+[A-Za-z0-9+/]{3,}"
 #: Longest token that is remembered, and how many of them.
 LONG, REMEMBERED = 256, 1 << 18
+#: So many of the most frequent tokens are judged once, for all tasks; each task judges the others itself.
+FREQUENT = 1 << 15
 
 BITS3, BITS2, BITS1 = 20, 18, 16
 SIZE = (1 << BITS3) + (1 << BITS2) + (1 << BITS1)
@@ -261,15 +265,22 @@ def count_into(table: np.ndarray, texts: list[str], weights: list[int] | None =
 Accepts = Callable[[], Callable[[str], bool]]
 
 
-def _counted(texts: DataFrame, accepts: Accepts) -> np.ndarray:
-    """Count table of the accepted ones of a DataFrame with one text column. At most ``SIZE`` sums reach the driver."""
+def _counted(texts: DataFrame, accepts: Accepts) -> tuple[np.ndarray, list[str]]:
+    """Count table of the accepted ones of a DataFrame with one text column, and the most frequent tokens beyond ASCII.
+
+    At most ``SIZE`` sums and ``FREQUENT`` tokens reach the driver, and so much of each task the shuffle.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        accepted, table, seen = accepts(), np.zeros(SIZE, dtype=np.int64), Counter()
+        accepted, table, seen, often = accepts(), np.zeros(SIZE, dtype=np.int64), Counter(), Counter()
 
         def flush() -> None:
             seen.pop("", None)
             count_into(table, list(seen), list(seen.values()))
+            often.update({t: n for t, n in seen.items() if n > 1 and len(t) <= LONG and _REACHED.search(t)})
+            kept = often.most_common(FREQUENT)
+            often.clear()
+            often.update(dict(kept))
             seen.clear()
 
         for batch in batches:
@@ -278,16 +289,25 @@ def _counted(texts: DataFrame, accepts: Accepts) -> np.ndarray:
                 flush()
         flush()
         at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["at", "n"])
-
-    sums = texts.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        tokens = list(often)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([*at.tolist(), *[-1] * len(tokens)], pa.int32()), pa.array([*[""] * len(at), *tokens], pa.string()),
+                pa.array([*table[at].tolist(), *often.values()], pa.int64()),
+            ], names=["at", "token", "n"],
+        )
+
+    shared_dir(texts.sparkSession)
+    sums = texts.mapInArrow(count, "at int, token string, n long").groupBy("at", "token").agg(F.sum("n").alias("n")).checkpoint()
+    grams = sums.where("at >= 0").select("at", "n").toPandas()
     table = np.zeros(SIZE, dtype=np.int64)
-    table[sums["at"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
-    return table.astype(np.float32)
+    table[grams["at"].to_numpy(dtype=np.int64)] = grams["n"].to_numpy(dtype=np.int64)
+    often = sums.where("at < 0").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toPandas()
+    return table.astype(np.float32), often["token"].tolist()
 
 
-def train(texts: DataFrame) -> np.ndarray:
-    """Count table of the texts without signs of damage."""
+def train(texts: DataFrame) -> tuple[np.ndarray, list[str]]:
+    """Count table of the texts without signs of damage, and their most frequent tokens beyond ASCII."""
     return _counted(texts, Sound)
 
 
@@ -414,6 +434,7 @@ class Chains:
         self.legacy = lru_cache(maxsize=1 << 14)(self._legacy)
         #: Tokens that no chain makes likelier by as much as counts.
         self.dull: set[str] = set()
+        self.seeded = False
         self.cost = np.array([0.0 if pair in COMMON else RARE for pair in LEGACY], dtype=np.float32)
 
     def _lossy(self, encoding: str) -> tuple[re.Pattern, dict[str, list[str]]]:
@@ -516,7 +537,7 @@ class Chains:
         mended = None if raw is None else _decoded(raw, meant)
         return token if mended is None else mended
 
-    def _is_dull(self, token: str) -> bool:
+    def is_dull(self, token: str) -> bool:
         if token in self.dull:
             return True
         if "\ufffd" in token or _REACHED.search(token) and (
@@ -532,7 +553,7 @@ class Chains:
         ``whole`` and ``utf8``, ``lossy``: see :data:`KINDS`.
         """
         tokens = text.split(" ")
-        if self.dull.issuperset(tokens) or all(map(self._is_dull, tokens)):
+        if self.dull.issuperset(tokens) or all(map(self.is_dull, tokens)):
             return {}
         wide = self._wide(text) if _CONTROLS.search(text) else None
         told = [self.gains(t) for t in tokens]
@@ -618,12 +639,37 @@ def _recoded(token: str, w: str) -> str | None:
 _MADE: dict[str, Chains] = {}
 
 
-def _made(name: str, shared, token_gain: float = TOKEN_GAIN) -> Chains:
-    """One ``Chains`` for each worker process and model, so that its tasks share what is known of tokens."""
-    if name not in _MADE:
-        _MADE.clear()
-        _MADE[name] = Chains(shared.value, token_gain)
-    return _MADE[name]
+class Fitted:
+    """A model on the executors: the broadcast count table under a name by which worker processes share it.
+
+    ``often`` are tokens that many tasks will meet. They are judged once, spread over the cluster, and those that no
+    chain makes likelier are broadcast (at most ``FREQUENT`` tokens of at most ``LONG`` characters).
+    """
+
+    def __init__(self, spark: SparkSession, counts: np.ndarray, often: list[str] | None = None, token_gain: float = TOKEN_GAIN) -> None:
+        self.shared, self.name, self.token_gain = spark.sparkContext.broadcast(counts), uuid.uuid4().hex, token_gain
+        self.dull = None
+        if often:
+            maker = self.chains
+
+            def dull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                chains = maker()
+                for batch in batches:
+                    yield batch.filter(pa.array([chains.is_dull(t) for t in batch.column(0).to_pylist()], pa.bool_()))
+
+            tokens = spark.createDataFrame(pa.table({"token": pa.array(often, pa.string())})).repartition(spark.sparkContext.defaultParallelism)
+            self.dull = spark.sparkContext.broadcast(tokens.mapInArrow(dull, "token string").toPandas()["token"].tolist())
+
+    def chains(self) -> Chains:
+        """One for each worker process and model, so that its tasks share what is known of tokens."""
+        if self.name not in _MADE:
+            _MADE.clear()
+            _MADE[self.name] = Chains(self.shared.value, self.token_gain)
+        made = _MADE[self.name]
+        if self.dull is not None and not made.seeded:
+            made.dull.update(self.dull.value)
+            made.seeded = True
+        return made
 
 
 def _ascii_of(run: str, order: str) -> str:
@@ -672,24 +718,16 @@ def one_corruption(text: str) -> tuple[str, str] | None:
     return made_of[0] if made_of and made_of[0][1] != text else None
 
 
-class Fitted:
-    """A model on the executors: the broadcast count table under a name by which worker processes share it."""
-
-    def __init__(self, spark: SparkSession, counts: np.ndarray) -> None:
-        self.shared, self.name = spark.sparkContext.broadcast(counts), uuid.uuid4().hex
-
-
 def tally(fitted: Fitted, clean: DataFrame) -> np.ndarray:
     """Histograms of the gains of ``clean`` texts and of one corruption of each: (which, kind, place) -> texts.
 
     Place 0 is no gain, place i a gain of at least (i - 1) * ``STEP``. A last kind has the clean texts' levels, negative.
     Scored where the texts are; only the histograms, of fixed size, reach the driver.
     """
-    shared, made = fitted.shared, fitted.name
     shape = (2, len(KINDS) + 1, PLACES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains, seen = _made(made, shared), np.zeros(shape, dtype=np.int64)
+        chains, seen = fitted.chains(), np.zeros(shape, dtype=np.int64)
 
         def add(which: int, kind: int, gain: float) -> None:
             seen[which, kind, min(int(gain / STEP) + 1, PLACES - 1) if gain > 0 else 0] += 1
@@ -764,28 +802,27 @@ def verdict(chains: Chains, limits: dict[str, float], text: str) -> tuple[str, s
     return "; ".join(names), fixed if chains.level(fixed) >= limits.get("level", -math.inf) else None
 
 
-def retrain(spark: SparkSession, texts: DataFrame, counts: np.ndarray) -> np.ndarray:
+def retrain(spark: SparkSession, texts: DataFrame, counts: np.ndarray, often: list[str]) -> np.ndarray:
     """The count table without the records that the first model doubts.
 
     Nothing but the model can tell one legacy encoding from another, and records that were read with the
     wrong one made their way into its training: the more data, the more often the wrong spelling is seen. So
     the n-grams of the records that a whole-text chain makes likelier by ``DOUBT`` are taken out again.
     """
-    fitted = Fitted(spark, counts)
-    shared, made = fitted.shared, fitted.name
+    fitted = Fitted(spark, counts, often, DOUBT_TOKEN)
 
     def doubts() -> Callable[[str], bool]:
-        chains, sound = _made(made, shared, DOUBT_TOKEN), Sound()
+        chains, sound = fitted.chains(), Sound()
 
         def doubtful(text: str) -> bool:
-            if chains.dull.issuperset(text.split(" ")):
+            if chains.dull.issuperset(text.split(" ")) or not sound(text):
                 return False
-            return any(gain >= DOUBT[k] for k, (_, gain, _) in chains.best(text).items() if k in DOUBT) and sound(text)
+            return any(gain >= DOUBT[k] for k, (_, gain, _) in chains.best(text).items() if k in DOUBT)
 
         return doubtful
 
     column = texts.columns[0]
-    return np.maximum(counts - _counted(texts.where(F.col(column).rlike(REACHED)), doubts), 0).astype(np.float32)
+    return np.maximum(counts - _counted(texts.where(F.col(column).rlike(REACHED)), doubts)[0], 0).astype(np.float32)
 
 
 def sound_only(texts: DataFrame) -> DataFrame:
@@ -812,14 +849,16 @@ def _part(column: str):
 
 def fit(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, dict[str, float]]:
     """Count table of the clean records and validated margins; ``texts`` has one column."""
-    counts = trained(spark, texts)
+    counts, _ = trained(spark, texts)
     return counts, margins(spark, counts, held_out(texts))
 
 
-def trained(spark: SparkSession, texts: DataFrame) -> np.ndarray:
+def trained(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, list[str]]:
+    """Count table of the clean records without the doubtful ones, and the most frequent tokens."""
     column = texts.columns[0]
     training = texts.where(F.col(column).isNotNull() & (_part(column) != 0))
-    return retrain(spark, training, train(training))
+    counts, often = train(training)
+    return retrain(spark, training, counts, often), often
 
 
 def find_garbled(spark: SparkSession, records: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -831,14 +870,13 @@ def find_garbled(spark: SparkSession, records: DataFrame, text: str, keys: list[
     The only data on the driver are the count table and the validation's histograms, both of fixed size.
     """
     texts = records.select(text)
-    fitted = Fitted(spark, trained(spark, texts))
+    fitted = Fitted(spark, *trained(spark, texts))
     limits = _margins(fitted, held_out(texts))
     slim = records.select(*keys, F.col(text).alias("original")).where(F.col("original").rlike(REACHED))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema), "chain string", "restored string"])
-    shared, made = fitted.shared, fitted.name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains = _made(made, shared)
+        chains = fitted.chains()
         judge = lru_cache(maxsize=1 << 12)(lambda t: verdict(chains, limits, t))
         for batch in batches:
             told = [None if chains.dull.issuperset(t.split(" ")) else judge(t) for t in batch.column(len(keys)).to_pylist()]
@@ -857,13 +895,12 @@ def restoration(spark: SparkSession, texts: DataFrame) -> DataFrame:
     ``texts`` has one column. Each held-out text, unknown to the model, is garbled in one way and judged; exact
     counts the texts that come back sign by sign. Texts garbled with loss of bytes have kind lossy.
     """
-    fitted = Fitted(spark, trained(spark, texts))
+    fitted = Fitted(spark, *trained(spark, texts))
     apart = held_out(texts)
     limits = _margins(fitted, apart)
-    shared, made = fitted.shared, fitted.name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains = _made(made, shared)
+        chains = fitted.chains()
         for batch in batches:
             told = []
             for text in batch.column(0).to_pylist():
