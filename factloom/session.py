@@ -47,5 +47,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new path below the shared folder, which goes when the application ends."""
+    at, fs = hadoop(spark, os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}"))
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{at.toString()}/data"
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The Hadoop path and file system of a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in the place of another in one step: readers see the old one or the new one, whole."""
+    new, fs = hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(new, hadoop(spark, path)[0], options)

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import hadoop, replace_file
+
 # Texts that must never be written.
 CREDENTIAL = r"(?i)(bearer\s+[a-z0-9._-]{16,}|authorization\s*[:=]|api[_-]?key\s*[:=]\s*\S{8,}|password\s*[:=]\s*\S+|-----BEGIN [A-Z ]*PRIVATE KEY-----)"
 
@@ -23,12 +25,8 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, name: str):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def current(self) -> str | None:
-        at, fs = self._fs("CURRENT")
+        at, fs = hadoop(self.spark, f"{self.path}/CURRENT")
         return self.spark.read.text(at.toString(), wholetext=True).first()[0].strip() if fs.exists(at) else None
 
     def read(self) -> DataFrame | None:
@@ -49,19 +47,10 @@ class VersionedTable:
 
     def point(self, version: str) -> None:
         """Make a version the current one; a version that isn't there is refused (also the way back)."""
-        at, fs = self._fs(version)
+        at, fs = hadoop(self.spark, f"{self.path}/{version}")
         if not fs.exists(at):
             raise ValueError(f"no version {version}")
-        new, _ = self._fs(f"CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(new, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        target, _ = self._fs("CURRENT")
-        jvm = self.spark.sparkContext._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, target, options)
+        replace_file(self.spark, f"{self.path}/CURRENT", version)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
