@@ -6,6 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Most snapshots of which the list is broadcast.
+FEW = 10_000
 
 
 def row_hash(columns: Sequence[Column]) -> Column:
@@ -13,6 +17,18 @@ def row_hash(columns: Sequence[Column]) -> Column:
     return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
 
 
+def _neighbours(listed: DataFrame) -> DataFrame:
+    """Rows (snapshot, previous, next) of the distinct snapshots."""
+    some = listed.limit(FEW + 1).collect()
+    if len(some) > FEW:
+        order = Window.orderBy("snapshot")
+        return listed.select("snapshot", F.lag("snapshot").over(order).alias("previous"), F.lead("snapshot").over(order).alias("next"))
+    names = [None, *sorted(r[0] for r in some), None]
+    kind = listed.schema["snapshot"].dataType
+    fields = T.StructType([T.StructField(c, kind) for c in ("snapshot", "previous", "next")])
+    return F.broadcast(listed.sparkSession.createDataFrame(list(zip(names[1:-1], names, names[2:], strict=False)), fields))
+
+
 def snapshot_changes(
     rows: DataFrame, snapshot: str, key: str, compared: Sequence[Column], latest: Sequence[Column]
 ) -> DataFrame:
@@ -24,17 +40,15 @@ def snapshot_changes(
     row per task before the shuffle. Of several rows of a key in a snapshot that with the greatest
     ``latest`` counts (null is least); what is still equal is decided by the row hash. Rows without
     key or snapshot don't count, the first snapshot gives no rows, an empty table none.
-    The list of snapshots (one row for each delivery) is small by nature; Spark itself decides whether
-    it may be broadcast.
+    The list of snapshots (one entry for each delivery) is read first and broadcast if it has at most
+    ``FEW`` entries, so that the rows go through the one shuffle only; a longer list is joined as Spark
+    sees fit.
     """
     slim = rows.select(
         F.col(snapshot).alias("snapshot"), F.col(key).alias("key"),
         F.struct(*[c.alias(f"l{i}") for i, c in enumerate(latest)], row_hash(compared).alias("hash")).alias("version"),
     ).where("snapshot is not null and key is not null")
-    order = Window.orderBy("snapshot")
-    neighbours = slim.groupBy("snapshot").agg(F.lit(1).alias("one")).select(
-        "snapshot", F.lag("snapshot").over(order).alias("previous"), F.lead("snapshot").over(order).alias("next")
-    )
+    neighbours = _neighbours(slim.select("snapshot").distinct())
     sides = F.array(
         F.struct(F.when(F.col("previous").isNotNull(), F.col("snapshot")).alias("at"), F.lit(True).alias("later")),
         F.struct(F.col("next").alias("at"), F.lit(False).alias("later")),
