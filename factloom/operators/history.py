@@ -8,7 +8,8 @@ Layout: the timeline is cut into blocks of ``block`` time units and each bitmap
 keyed by (entity, block, value, word). A block holds at most ``block`` instants of one entity
 whatever the number of delivered rows, so that an entity with a third of all rows is spread over
 as many tasks as it has blocks. Runs that cross a block's edge are joined from one small row
-per entity and block.
+per entity and block. The runs are checkpointed in the shared folder, since they are looked at twice, for
+the edges and for the joining.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import shared_dir
+
 WORD = 64
 DAY = 86_400
 
@@ -67,11 +70,10 @@ def bitmap_runs(observed: DataFrame, block: int = DAY) -> DataFrame:
         by_block.withColumn("ordinal", ordinal)
         .withColumn("word", F.floor(F.col("ordinal") / WORD))
         .withColumn("pos", (F.col("ordinal") % WORD).cast("int"))
-        .withColumn("attribute", F.xxhash64("state"))
-        .groupBy("entity", "block", "attribute", "state", "word")
+        .groupBy("entity", "block", "state", "word")
         .agg(F.expr("bit_or(shiftleft(1L, pos))").alias("bits"), F.collect_list(F.struct("pos", "t")).alias("at"))
     )
-    before = Window.partitionBy("entity", "block", "attribute", "state").orderBy("word")
+    before = Window.partitionBy("entity", "block", "state").orderBy("word")
     carried = (F.lag("word").over(before) == F.col("word") - 1) & (F.lag("bits").over(before) < 0)
     starts = words.withColumn("carry", F.when(carried, F.lit(1)).otherwise(F.lit(0)).cast("long")).withColumn(
         "starts", F.expr("bits & ~(shiftleft(bits, 1) | carry)")
@@ -114,7 +116,9 @@ def state_history(changes: DataFrame, entity: str, instant: str, old: str, new:
     new state is null leaves the state as it is. Empty input gives no rows; columns other than the
     four named ones are not looked at, so clashing names do no harm.
     """
-    return join_blocks(bitmap_runs(states_by_instant(changes, entity, instant, old, new), block))
+    shared_dir(changes.sparkSession)
+    runs = bitmap_runs(states_by_instant(changes, entity, instant, old, new), block)
+    return join_blocks(runs.checkpoint())
 
 
 def snapshot_history(snapshots: DataFrame, snapshot: str, entity: str, attribute: str) -> DataFrame:
