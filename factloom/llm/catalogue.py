@@ -5,4 +5,4 @@ from __future__ import annotations
 from factloom.llm import plans
 
 QUERIES = dict(plans.QUERIES)
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(plans.ORACLES)

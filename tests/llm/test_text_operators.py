@@ -127,6 +127,30 @@ def test_ideographs_look_like_kana(spelling, a, b):
     assert spelling.of(a) == spelling.of(b) and spelling.of("ハート") == "ハート" and spelling.of("灯台") != spelling.of("灯合")
 
 
+@pytest.mark.parametrize("text", ["Το Νησί χωρίς Φως", "Η Γέφυρα", "Đurđica", "Сосна в расе", "Τα Νέα", "Море", "力の灯台", "最終シーズン", "Åse's Café"])
+def test_clean_names_stay(spelling, text):
+    assert spelling.told(text) == (text, None)
+
+
+@pytest.mark.parametrize("text, form, confusion", [
+    ("Pаper Ferry", "Paper Ferry", "mixed"), ("Ѕеа", "Sea", "whole"), ("The Ѕеа", "The Sea", "whole"), ("Ｆｕｌｌ", "Full", "form"), ("Pa\u200bper", "Paper", "form"), ("Сосна в pace", "Сосна в расе", "whole"),
+])
+def test_kinds_of_confusion(spelling, text, form, confusion):
+    assert spelling.told(text) == (form, confusion) and spelling.key(text) == spelling.key(form)
+
+
+def test_keys_tell_look_alikes_of_one_script(spelling):
+    assert spelling.key("Đurđica") == spelling.key("Ðurđica") and spelling.key("Cafe") != spelling.key("Café")
+
+
+def test_names_are_joined_either_way(spark, monkeypatch):
+    names = spark.createDataFrame([(1, "Paper Ferry"), (2, "Sea")], "key int, name string")
+    occurrences = spark.createDataFrame([(1, "Pаper Ferry"), (2, "Sеa"), (2, "Sea"), (3, "x")], "key int, text string")
+    few = sorted(map(tuple, L.names_that_look(spark, occurrences, names).collect()))
+    monkeypatch.setattr(L, "FEW_NAMES", 1)
+    assert few == sorted(map(tuple, L.names_that_look(spark, occurrences, names).collect())) and len(few) == 2
+
+
 def test_names_that_look(spark):
     names = spark.createDataFrame([(1, "Paper Ferry"), (1, "Café"), (2, "Sea"), (3, None)], "key int, name string")
     rows = [(1, "Paper Ferry", "n"), (1, "Pаper Ferry", "y"), (1, "Pаper Ferry", "y"), (2, "Paper Ferry", "other key"), (None, "Sеa", "null key"), (2, None, "null text"), (2, "Sеa", "y"), (1, "PAPER FERRY", "case"), (9, "Sea", "no names")]
@@ -252,6 +276,53 @@ def test_one_text_does_not_fill_the_validation(spark, monkeypatch):
     assert sorted(r[0] if not isinstance(r, str) else r for r in seen[0]) == sorted(set(held_out))
 
 
+@pytest.mark.parametrize("text, meant, wrong", [("最終季將於明年播出", "big5", "latin-1"), ("마지막 시즌은 내년 봄에 공개됩니다", "euc_kr", "latin-1"), ("最终季将于明年播出", "gb18030", "cp1252"), ("最終シーズンは来年春に配信予定", "gb18030", "latin-1")])
+def test_chinese_and_korean(text, meant, wrong):
+    import numpy as np
+
+    table = np.zeros(E.SIZE, dtype=np.int64)
+    E.count_into(table, [*CLEAN, text] * 40)
+    assert E.verdict(E.Chains(table.astype(np.float32)), E.MARGINS, broken(text, meant, wrong))[1] == text
+
+
+def test_parts_are_restored_each_by_its_chain(chains):
+    text = CLEAN[0].replace("empezó", broken("empezó", "utf-8", "cp1252")).replace("compañía", broken("compañía", "utf-8", "mac-roman"))
+    assert E.verdict(chains, E.MARGINS, text)[1] == CLEAN[0]
+    beside = E.verdict(chains, E.MARGINS, "Espa\ufffda, " + broken("según la compañía", "utf-8", "cp1252"))
+    assert beside[0].startswith("lost") and beside[1] == "Espa\ufffda, según la compañía"
+
+
+def test_what_is_no_text_is_not_handed_out(chains):
+    garbled = broken(CLEAN[0], "utf-8", "cp1252")
+    assert E.verdict(chains, {**E.MARGINS, "level": -0.01}, garbled)[1] is None and E.verdict(chains, {**E.MARGINS, "level": -20.0}, garbled)[1] == CLEAN[0]
+
+
+def test_utf8_any_number_of_times(chains):
+    text = CLEAN[4]
+    for _ in range(5):
+        text = broken(text, "utf-8", "cp1252")
+    assert E.verdict(chains, E.MARGINS, text)[1] == CLEAN[4]
+
+
+def test_escape_sequences(chains):
+    assert E.verdict(chains, E.MARGINS, CLEAN[8].encode("iso2022_jp_2").decode("ascii"))[1] == CLEAN[8]
+
+
+def test_weights_count_like_repeats():
+    import numpy as np
+
+    a, b = np.zeros(E.SIZE, dtype=np.int64), np.zeros(E.SIZE, dtype=np.int64)
+    E.count_into(a, ["añ", "b"], [3, 2])
+    E.count_into(b, ["añ", "b", "añ", "b", "añ"])
+    assert (a == b).all()
+
+
+def test_restoration_is_measured(spark):
+    df = spark.createDataFrame([(f"{t} {i}",) for i in range(60) for t in CLEAN], "t string")
+    told = E.restoration(spark, df).collect()
+    assert told and all(r.exact <= r.found <= r.texts for r in told) and sum(r.exact for r in told if r.kind == "utf8") >= 0.9 * sum(r.texts for r in told if r.kind == "utf8")
+
+
 # --- residue --------------------------------------------------------------------------------------------------
 
 REAL = "The third season of Paper Ferry premieres May 3, 2026 with 8 episodes. "
@@ -309,6 +380,59 @@ def test_real_content(text):
     assert R.residue(text) is None
 
 
+@pytest.mark.parametrize("text", [
+    "None returned his calls.", "He said [city] officials agreed.", "Her TODO: buy milk.", "Ask for <title> tags.", "The XXXX mark is a trademark.", "The tag {title} stands for a name, braces included.",
+    "Results came in (more to come on that later in the week from the people who were there at the time).",
+])
+def test_words_that_only_look_like_slots(text):
+    assert R.residue(text) is None
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("This page can't be displayed right now. Our servers are overloaded.", "message"), ("Access Denied\nİ You don't have permission to access this page İ", "message"),
+    ("Home | Shows\n" + "".join(f"Home | Shows {i} | Press | Contact\n" for i in range(400)) + "404 Not Found\nThe requested URL /a was not found on this server.", "message"),
+    ("// TODO: add synopsis", "slot"), ("Die „Serie“, sagte [provider].", "slot"), ("In [city] on [date] the show returns.", "slot"), ("A (" + "placeholder " * 3 + ") here", "slot"),
+    ("{{ " + "x" * 300 + " }}", "slot"),
+    ("Real words are here.\n\nMenda vesti orsa belit turpa menda. Vesti orsa noctur belit menda turpa vesti orsa belit.\n\nThe end of it.", "filler"),
+])
+def test_more_residue(text, kind):
+    assert R.residue(text) == kind
+
+
+def test_wordings_of_notes():
+    assert R._wordings("add (?:a |the )?(?:quote|link)") == ["add a quote", "add a link", "add the quote", "add the link", "add quote", "add link"]
+    assert R._alternatives("a|b (?:c|d)|e") == ["a", "b (?:c|d)", "e"]
+
+
+def test_all_documents_are_judged_once(spark):
+    df = spark.createDataFrame([(1, "{{x}}"), (1, "fine text"), (2, None), (3, " ")], "doc_id long, text string")
+    assert sorted(map(tuple, R.judged(df, ["doc_id"], "text").collect()), key=str) == sorted([(1, "slot"), (1, None), (2, None), (3, None)], key=str)
+
+
 def test_find_residue_in_spark(spark):
     df = spark.createDataFrame([(1, "{{x}}"), (1, "{{x}}"), (2, None), (3, ""), (4, " ".join(f"{REAL}Part {i} follows." for i in range(2000)))], "doc_id long, text string").withColumn("residue", F.lit("clash"))
     assert sorted(tuple(r) for r in R.find_residue(df, "doc_id", "text").collect()) == [(1, "slot"), (1, "slot")]
+
+
+# --- queries --------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["p3_names_changed", "p6_round_trip", "p7_faults", "p8_unassigned"])
+def test_results_that_must_be_empty(spark, name):
+    import os
+
+    from factloom.llm import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    assert name in catalogue.ORACLES and catalogue.QUERIES[name](spark, sf).count() == 0
+
+
+def test_many_capacities(spark, tmp_path):
+    from factloom.llm import plans
+
+    spark.createDataFrame([(i, 8 + i) for i in range(300)], "capacity_id int, capacity_tokens int").write.parquet(f"{tmp_path}/pack_capacities.parquet")
+    spark.createDataFrame([(1, "Hello world"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.p7_containers(spark, f"file://{tmp_path}").collect()
+    assert len(got) == 300 and {r.doc_id for r in got} == {1} and {r.n_tokens for r in got} == {2}
