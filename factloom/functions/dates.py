@@ -67,3 +67,31 @@ def retry_after(header: Column, now: Column) -> Column:
 def ordinal_day(d: Column) -> Column:
     """Days since 0001-01-01, which is day 1."""
     return F.datediff(d, F.lit("1970-01-01").cast("date")) + 719163
+
+
+def premiere_year(c: Column) -> Column:
+    """First year without a day for a premiere ("premieres in 2027"), else null."""
+    return F.regexp_extract(F.lower(c), r"\b(?:premieres|returns|debuts|arrives|streams) in (20[0-9]{2})\b", 1).try_cast("int")
+
+
+def first_full_date(c: Column) -> Column:
+    """Struct (found, day) of the first "Month D, YYYY" of a text; a day that doesn't exist is null."""
+    p = "\\b(" + "|".join(m.capitalize() for m in MONTHS) + ") ([0-9]{1,2}), ([0-9]{4})\\b"
+    whole = F.regexp_extract(c, p, 0)
+    parts = F.split(F.replace(whole, F.lit(","), F.lit("")), " ")
+    day = F.format_string("%s-%02d-%02d", F.get(parts, F.lit(2)), _month(F.get(parts, F.lit(0)), MONTHS, False), F.get(parts, F.lit(1)).try_cast("int")).try_cast("date")
+    return F.struct((whole != "").alias("found"), day.alias("day"))
+
+
+def spanish_date_near(c: Column, published: Column, within: int = 183) -> Column:
+    """Struct (found, day) of the first "D de mes [de YYYY]"; without a year only up to ``within`` days after publication, in its year."""
+    p = rf"(?i)\b([0-9]{{1,2}}) de ({'|'.join(MESES)})(?: de ([0-9]{{4}}))?\b"
+    parts = F.split(F.lower(F.regexp_extract(c, p, 0)), " de ")
+    given = F.get(parts, F.lit(2)).try_cast("int")
+    day = F.format_string("%04d-%02d-%02d", F.coalesce(given, F.year(published)), _month(F.get(parts, F.lit(1)), MESES, False), F.get(parts, F.lit(0)).try_cast("int")).try_cast("date")
+    return F.struct((F.size(parts) > 1).alias("found"), F.when(given.isNotNull() | F.datediff(day, published).between(0, within), day).alias("day"))
+
+
+def plausible(day: Column, latest: Column) -> Column:
+    """From 1900 on and not after ``latest``."""
+    return day.between(F.lit("1900-01-01").cast("date"), latest)

@@ -35,6 +35,24 @@ def canonical(url: Column) -> Column:
     return F.when(host(url).isNotNull(), F.concat(F.lower(part(url, 1)), F.lit("://"), host(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def normal_canonical(url: Column) -> Column:
+    """:func:`canonical` with unreserved characters unescaped first and other escapes in capitals."""
+    from factloom.functions.codes import normal_percent
+
+    return canonical(normal_percent(url))
+
+
+def listing(url: Column, parameters: dict[str, str]) -> Column:
+    """Canonical form of a listing page; null if it has other parameters, values out of bounds or hidden path steps.
+
+    ``parameters`` gives the pattern of each one's value. Escaped slashes and ``..`` are hidden steps.
+    """
+    hidden = F.lower(url).rlike(r"%2f|%5c|/\.\.(/|$|\?)")
+    known = "^(" + "|".join(f"{name}={value}" for name, value in parameters.items()) + ")$"
+    given = F.filter(F.split(F.coalesce(part(url, 6), F.lit("")), "&"), lambda p: p != "")
+    return F.when(~hidden & F.forall(given, lambda p: p.rlike(known)), canonical(url))
+
+
 def public(url: Column) -> Column:
     """Without user and fragment, secret parameters as ***."""
     shown = F.transform(F.split(part(url, 6), "&"), lambda p: F.when(F.substring_index(p, "=", 1).rlike(SECRET), F.concat(F.substring_index(p, "=", 1), F.lit("=***"))).otherwise(p))

@@ -101,6 +101,20 @@ def overlap_score(a: Column, b: Column) -> Column:
     )
 
 
+def shared_words(left: DataFrame, left_key: Sequence[str], left_words: Column, right: DataFrame, right_key: Sequence[str], right_words: Column) -> DataFrame:
+    """Pairs that share a word, with the score of :func:`overlap_score` of the left one's words in the right one's.
+
+    A join on the words and a count for each pair: what shares no word is never compared. Words must be distinct
+    within a row. Rows without words give no pairs.
+    """
+    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left_key], F.size(left_words).alias("_n"), F.explode(left_words).alias("_w"))
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right_key], F.explode(right_words).alias("_w"))
+    keys = [*(f"l_{c}" for c in left_key), *(f"r_{c}" for c in right_key)]
+    counted = a.join(b, "_w").groupBy(*keys, "_n").agg(F.count("*").alias("_shared"))
+    score = F.when(F.col("_shared") == F.col("_n"), 3).when(F.col("_shared") >= F.greatest(F.lit(1), F.floor((F.col("_n") + 1) / 2)), 2).otherwise(1)
+    return counted.select(*[F.col(f"l_{c}").alias(c) for c in left_key], *[F.col(f"r_{c}").alias(c) for c in right_key], score.alias("score"))
+
+
 def keep_existing(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Insert-or-ignore: incoming rows whose key is new, beside all rows of the table."""
     return table.unionByName(incoming.join(table.select(key).distinct(), key, "left_anti"))

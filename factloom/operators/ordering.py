@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +18,17 @@ def strongest(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), by).alias("row")).select(key, "row.*")
 
 
-def top_per_group(rows: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
-    """The first k rows of each group; the limit is applied before the shuffle too."""
+def top_per_group(rows: DataFrame, group: str, order: Sequence[Column], k: int | Mapping[str, int]) -> DataFrame:
+    """The first k rows of each group; the limit is applied before the shuffle too.
+
+    ``k`` may give another number for each group; groups that it doesn't name have none.
+    """
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("place", place).where(F.col("place") <= k)
+    if isinstance(k, int):
+        return rows.withColumn("place", place).where(F.col("place") <= k)
+    limits = F.create_map(*[x for name, n in k.items() for x in (F.lit(name), F.lit(n))])
+    top = rows.where(F.col(group).isin(*k)).withColumn("place", place).where(F.col("place") <= max(k.values()))
+    return top.where(F.col("place") <= F.try_element_at(limits, F.col(group)))
 
 
 def version_gate(payloads: DataFrame, key: str, arrival: str, version: str) -> DataFrame:

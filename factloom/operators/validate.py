@@ -36,6 +36,11 @@ def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> D
     return rows.join(parents.select(F.col(parent_key).alias("_p")).distinct(), F.col(key) == F.col("_p"), "left_anti")
 
 
+def mass_change(changes: DataFrame, unit: str, most: int) -> DataFrame:
+    """Changes of each unit (a run, a snapshot) and whether they are too many to be let through."""
+    return changes.groupBy(unit).agg(F.count("*").alias("changes")).withColumn("blocked", F.col("changes") > most)
+
+
 def is_appended(old_log: str, new_log: str, lines: int = 1) -> bool:
     """Whether a log grew by exactly so many lines and kept what it had."""
     return new_log.startswith(old_log) and new_log[len(old_log) :].count("\n") == lines and new_log.endswith("\n")

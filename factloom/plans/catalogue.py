@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import data_ops, flows, measures, relational, scalars
+from factloom.plans import data_ops, flows, measures, relational, scalars, shapes
 
-_PARTS = (data_ops, relational, measures, scalars, flows)
+_PARTS = (data_ops, relational, measures, scalars, flows, shapes)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

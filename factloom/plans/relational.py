@@ -112,14 +112,13 @@ def nearest_view_of_purchase(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part), b AS (SELECT list_distinct(flatten(list(w))) AS a FROM (SELECT string_split(lower(p_name), ' ') AS w FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)))
-SELECT p_partkey, CASE WHEN len(list_intersect(w, a)) = len(w) THEN 3 WHEN len(list_intersect(w, a)) >= greatest(1, (len(w) + 1) // 2) THEN 2 WHEN len(list_intersect(w, a)) > 0 THEN 1 ELSE 0 END AS score FROM p, b""")
+WITH p AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part), b AS (SELECT p_brand, arg_min(w, p_partkey) AS a FROM p GROUP BY p_brand)
+SELECT p_partkey, CASE WHEN len(list_intersect(w, a)) = len(w) THEN 3 WHEN len(list_intersect(w, a)) >= greatest(1, (len(w) + 1) // 2) THEN 2 WHEN len(list_intersect(w, a)) > 0 THEN 1 ELSE 0 END AS score FROM p JOIN b USING (p_brand)""")
 def token_overlap_score(spark: SparkSession, d: str) -> DataFrame:
-    """Word overlap of each part's name with the first part's name."""
-    parts = table(spark, d, "part")
-    first = parts.agg(F.min_by("p_name", "p_partkey")).first()[0] or ""
-    target = F.array(*map(F.lit, first.lower().split(" ")))
-    return parts.select("p_partkey", J.overlap_score(F.array_distinct(F.split(F.lower("p_name"), " ")), target).alias("score"))
+    """Word overlap of each part's name with the name of its brand's first part."""
+    parts = table(spark, d, "part").select("p_partkey", "p_brand", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
+    first = parts.groupBy(F.col("p_brand").alias("b")).agg(F.min_by("w", "p_partkey").alias("a"))
+    return parts.join(first, F.col("p_brand") == F.col("b")).select("p_partkey", J.overlap_score(F.col("w"), F.col("a")).alias("score"))
 
 
 @query("""

@@ -23,13 +23,18 @@ def query(sql: str | None = None):
     return add
 
 
-_FOLD = "trim(regexp_replace(translate(lower({}), '" + X.ACCENTED + "', '" + X.PLAIN + "'), '[^a-z0-9]+', ' ', 'g'))"
+# Width forms and blanks by code point, accents by DuckDB's own function.
+_FOLD = (
+    "trim(regexp_replace(lower(regexp_replace(strip_accents(array_to_string(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248)"
+    " WHEN unicode(c) IN (160, 8239, 8199, 8287, 12288) OR unicode(c) BETWEEN 8192 AND 8202 THEN ' ' WHEN unicode(c) IN (8216, 8217, 8220, 8221) THEN chr(39) ELSE c END), '')), '[^\\x00-\\x7f]+', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+)
 
 
 @query(f"SELECT row_id, {_FOLD.format('requestedTitle')} AS folded, replace({_FOLD.format('requestedTitle')}, ' ', '-') AS slug FROM hbo_production_evidence")
 def folded_titles(spark: SparkSession, d: str) -> DataFrame:
     title = F.col("requestedTitle")
-    return table(spark, d, "hbo_production_evidence").select("row_id", X.folded(title).alias("folded"), X.slug(title).alias("slug"))
+    folded = table(spark, d, "hbo_production_evidence").select("row_id", X.normalized(title).alias("folded"))
+    return folded.select("row_id", "folded", F.replace("folded", F.lit(" "), F.lit("-")).alias("slug"))
 
 
 @query(f"""SELECT row_id, array_to_string(list_sort(list_distinct(list_filter(string_split({_FOLD.format('title')}, ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'of', 'for', 'with')))), ' ') AS words FROM hbo_max_qualification_cases""")
@@ -46,11 +51,11 @@ def domain_allowlist(spark: SparkSession, d: str) -> DataFrame:
     return e.select("row_id", U.host(url).alias("host"), F.coalesce(U.part(url, 5), F.lit("")).alias("path"), U.on_domains(url, domains).alias("allowed"))
 
 
-@query("""WITH u AS (SELECT row_id, regexp_extract(sourceUrl, '^([^?#]*)', 1) AS base FROM hbo_production_evidence WHERE sourceUrl IS NOT NULL)
-SELECT row_id, regexp_replace(lower(regexp_extract(base, '^(https?://[^/]+)', 1)) || regexp_extract(base, '^https?://[^/]+(.*)$', 1), '/+$', '') AS url FROM u""")
+@query("""WITH u AS (SELECT row_id, regexp_extract(url, '^([^?#]*)', 1) AS base, list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(string_split(x, '=')[1]), '^(utm_[a-z_]*|fbclid|gclid|mc_cid|mc_eid)$'))) AS q FROM wbd_hbo_max_web_research WHERE url IS NOT NULL)
+SELECT row_id, regexp_replace(lower(regexp_extract(base, '^(https?://[^/]+)', 1)) || regexp_extract(base, '^https?://[^/]+(.*)$', 1), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM u""")
 def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "hbo_production_evidence").where("sourceUrl is not null")
-    return e.select("row_id", U.canonical(F.split_part(F.col("sourceUrl"), F.lit("?"), F.lit(1))).alias("url"))
+    """Whole URLs in canonical form, queries included."""
+    return table(spark, d, "wbd_hbo_max_web_research").where("url is not null").select("row_id", U.canonical(F.col("url")).alias("url"))
 
 
 @query("SELECT row_id, list_has_any(string_split_regex(lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)), '[^a-z0-9]+'), ['media', 'press', 'news']) AS in_newsroom FROM wbd_hbo_max_web_research WHERE url IS NOT NULL")
@@ -86,7 +91,16 @@ def base64url_codec(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", "code", X.from_base64url(F.col("code")).alias("back"))
 
 
-@query("SELECT row_id, length(t) - length(replace(t, 'season', '')) AS n FROM (SELECT row_id, lower(coalesce(array_to_string(relevantEvidenceSnippet, ' '), '')) AS t FROM hbo_production_evidence WHERE relevantEvidenceSnippet IS NOT NULL)")
+@query("""WITH e AS (SELECT row_id, coalesce(array_to_string(relevantEvidenceSnippet, ' '), '') AS t FROM hbo_production_evidence WHERE relevantEvidenceSnippet IS NOT NULL)
+SELECT row_id, len(regexp_extract_all(lower(t), '\\b[0-9]+(st|nd|rd|th|e|ª|ᵉ)?\\.? (season|saison|staffel|temporada|sezona)')) AS seasons, len(regexp_extract_all(t, '20[0-9]{2}')) AS years, len(regexp_extract_all(lower(t), 'renew|renueva|verlängert|cancel|otkaz')) AS actions FROM e""")
 def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "hbo_production_evidence").where("relevantEvidenceSnippet is not null")
-    return e.select("row_id", (6 * F.regexp_count(F.lower(F.array_join("relevantEvidenceSnippet", " ")), F.lit("season"))).cast("long").alias("n"))
+    """How often each of three patterns occurs in a row's snippets."""
+    e = table(spark, d, "hbo_production_evidence").where("relevantEvidenceSnippet is not null").select("row_id", F.array_join("relevantEvidenceSnippet", " ").alias("t"))
+
+    def times(c, p: str):
+        return F.regexp_count(c, F.lit(p)).cast("long")
+
+    return e.select(
+        "row_id", times(F.lower("t"), r"\b[0-9]+(st|nd|rd|th|e|ª|ᵉ)?\.? (season|saison|staffel|temporada|sezona)").alias("seasons"),
+        times(F.col("t"), "20[0-9]{2}").alias("years"), times(F.lower("t"), "renew|renueva|verlängert|cancel|otkaz").alias("actions"),
+    )
