@@ -33,7 +33,8 @@ def extract_claims(documents: DataFrame, key: str, text: str, announced: str, al
     ``aliases`` is an array column; if given, a sentence must name one of them. Null texts give no rows. Season and
     day are null where the sentence has none; a date without year takes it from the column ``announced``.
     """
-    cut = documents.select(key, announced, *([aliases.alias("_aliases")] if aliases is not None else []), F.posexplode(X.sentences(F.col(text))).alias("position", "sentence"))
+    any_kind = "(?i)" + "|".join(p.removeprefix("(?i)") for _, p in KINDS)
+    cut = documents.where(F.col(text).rlike(any_kind)).select(key, announced, *([aliases.alias("_aliases")] if aliases is not None else []), F.posexplode(X.sentences(F.col(text))).alias("position", "sentence"))
     s = F.col("sentence")
     said = cut.withColumn("kind", claim_kind(s)).where("kind is not null").where(~s.rlike(DOUBT))
     if aliases is not None:

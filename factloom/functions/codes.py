@@ -57,5 +57,5 @@ def decode_line(line: Column, version: int, names: list[str]) -> Column:
 
     parts = F.split(line, r"\|")
     good = (F.size(parts) == len(names) + 1) & (parts[0] == str(version)) & line.rlike(r"^\d+(\|(-|=[A-Za-z0-9_-]*))*$")
-    fields = [F.when(F.get(parts, F.lit(i)) != "-", from_base64url(F.substring(F.get(parts, F.lit(i)), 2, 1 << 20))).alias(n) for i, n in enumerate(names, 1)]
+    fields = [F.when(F.get(parts, F.lit(i)) != "-", from_base64url(F.substring(F.get(parts, F.lit(i)), 2, (1 << 31) - 1))).alias(n) for i, n in enumerate(names, 1)]
     return F.when(good, F.struct(*fields))

@@ -132,7 +132,7 @@ def redacted(c: Column) -> Column:
 
 def base64url(c: Column) -> Column:
     """Base64 with the URL alphabet and without padding."""
-    return F.translate(F.base64(F.encode(c, "UTF-8")), "+/=", "-_")
+    return F.translate(F.base64(F.encode(c, "UTF-8")), "+/=\r\n", "-_")
 
 
 def from_base64url(c: Column) -> Column:

@@ -28,3 +28,35 @@ def bounded_walk(edges: DataFrame, seeds: DataFrame, depth: int, per_level: int
             break
         seen = seen.unionByName(frontier).checkpoint()
     return seen
+
+
+def index_crawl(links: DataFrame, entries: DataFrame, depth: int, is_index, most_indexes: int | None = None) -> DataFrame:
+    """Articles reached from entry pages over index pages: node, depth, anchors, indexes.
+
+    ``links`` has source, target, anchor; ``entries`` node; ``is_index`` tells from a target column whether a page is an index, of
+    which the links are followed, up to ``depth`` steps. Each level keeps the ``most_indexes`` least new index pages where a crawl
+    has a budget for them. An article comes with the least depth at which it is met, the distinct anchor texts of all
+    links to it from pages of the crawl, sorted and joined by " | ", and the number of those pages. Nulls are left out.
+    A page that very many others link to is counted in tasks first; levels are checkpointed.
+    """
+    edges = links.select("source", "target", "anchor").where("source is not null and target is not null").distinct().checkpoint()
+    seen = frontier = entries.select("node").where("node is not null").distinct().select("node", F.lit(0).alias("depth")).checkpoint()
+    for level in range(1, depth + 1):
+        met = frontier.select(F.col("node").alias("source")).join(edges.where(is_index(F.col("target"))), "source").select(F.col("target").alias("node")).distinct()
+        new = met.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"))
+        if most_indexes is not None:
+            new = new.orderBy("node").limit(most_indexes)
+        frontier = new.checkpoint()
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier).checkpoint()
+    found = seen.where(F.col("depth") < depth).select(F.col("node").alias("source"), "depth").join(edges.where(~is_index(F.col("target"))), "source")
+    each = found.groupBy("target", "anchor").agg(F.min("depth").alias("depth"))
+    pages = found.select("target", "source").distinct().groupBy(F.col("target").alias("_t")).agg(F.count("*").alias("indexes"))
+    texts = each.groupBy("target").agg((F.min("depth") + 1).alias("depth"), F.array_join(F.array_sort(F.collect_set("anchor")), " | ").alias("anchors"))
+    return texts.join(pages, F.col("target") == F.col("_t")).select(F.col("target").alias("node"), "depth", "anchors", "indexes")
+
+
+def linked_from(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Distinct targets (node) to which one of ``pages`` (node) links."""
+    return links.join(pages.select(F.col("node").alias("source")).distinct(), "source", "left_semi").select(F.col("target").alias("node")).where("node is not null").distinct()

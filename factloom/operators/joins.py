@@ -27,6 +27,23 @@ def look_up(rows: DataFrame, key: Column, dimension: DataFrame, dimension_key: s
     return rows.join(named, key == F.col(prefix + dimension_key), "left")
 
 
+def identified(rows: DataFrame, key: str, answers: DataFrame, answer_key: str, identity: str, localized: DataFrame | None = None, name: str = "title") -> DataFrame:
+    """Answers of a lookup service joined to the rows that asked, checked for identity.
+
+    ``answers`` has the id asked for in ``answer_key`` and the id that the answer itself states in ``identity``; an answer about
+    somebody else counts as none. ``localized`` has the same columns in another language; its ``name`` comes as local_name, null
+    where it states another id. One row for each of ``rows``; of repeated answers the least name counts.
+    """
+    def told(df: DataFrame, out: str) -> DataFrame:
+        good = df.where(F.col(answer_key).isNotNull() & F.col(answer_key).eqNullSafe(F.col(identity)))
+        return good.groupBy(F.col(answer_key).alias("_asked")).agg(F.min(name).alias(out))
+
+    met = rows.join(told(answers, "name"), F.col(key) == F.col("_asked"), "left").drop("_asked")
+    if localized is None:
+        return met
+    return met.join(told(localized, "local_name"), F.col(key) == F.col("_asked"), "left").drop("_asked")
+
+
 def flag_known(rows: DataFrame, key: str, known: DataFrame, known_key: str, flag: str) -> DataFrame:
     """Rows with a boolean that tells whether their key is among ``known``; no row is multiplied."""
     keys = known.select(F.col(known_key).alias("_known")).where("_known is not null").distinct()
@@ -115,6 +132,49 @@ def shared_words(left: DataFrame, left_key: Sequence[str], left_words: Column, r
     return counted.select(*[F.col(f"l_{c}").alias(c) for c in left_key], *[F.col(f"r_{c}").alias(c) for c in right_key], score.alias("score"))
 
 
+def contained(rows: DataFrame, text: str, phrases: DataFrame, phrase: str, most_characters: int = 16_000_000) -> DataFrame:
+    """The rows' other columns with ``phrase`` for each distinct phrase that their text contains.
+
+    One pass of a multi-pattern automaton over each text finds all phrases at once, whatever their number. Phrases are
+    cut by hash into as many parts of about ``most_characters`` as they need, each of them an automaton of bounded size that goes to the
+    executors; usually that is one. Null texts and null or empty phrases give nothing.
+    """
+    kept = phrases.select(F.col(phrase).alias("p")).where("p is not null and p != ''").distinct()
+    size = kept.agg(F.coalesce(F.sum(F.length("p")), F.lit(0))).first()[0]
+    parts = int(size // most_characters) + 1
+    others = [c for c in rows.columns if c != text]
+    slim = rows.where(F.col(text).isNotNull()).select(*others, F.col(text).alias("_text"))
+    schema = ", ".join([*(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in others), "phrase string"])
+    out = None
+    for part in range(parts):
+        some = kept.where(F.pmod(F.xxhash64("p"), F.lit(parts)) == part).toPandas()["p"].tolist()
+        found = slim.mapInArrow(_finder(rows.sparkSession.sparkContext.broadcast(some), len(others)), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _finder(shared, others: int):
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        found = ahocorasick.Automaton()
+        for p in shared.value:
+            found.add_word(p, p)
+        if shared.value:
+            found.make_automaton()
+        for batch in batches:
+            at, hits = [], []
+            for i, t in enumerate(batch.column(others).to_pylist() if shared.value else ()):
+                here = {p for _, p in found.iter(t)}
+                at += [i] * len(here)
+                hits += here
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:others], pa.array(hits, pa.string())], names=[*batch.schema.names[:others], "phrase"])
+
+    return run
+
+
 def keep_existing(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Insert-or-ignore: incoming rows whose key is new, beside all rows of the table."""
     return table.unionByName(incoming.join(table.select(key).distinct(), key, "left_anti"))

@@ -31,12 +31,25 @@ def top_per_group(rows: DataFrame, group: str, order: Sequence[Column], k: int |
     return top.where(F.col("place") <= F.try_element_at(limits, F.col(group)))
 
 
-def version_gate(payloads: DataFrame, key: str, arrival: str, version: str) -> DataFrame:
-    """Each payload against the greatest version that came before: NEWER, SAME or OLDER; NEWER if first."""
+def version_gate(payloads: DataFrame, key: str, arrival: str, version: str, block: Column | None = None) -> DataFrame:
+    """Each payload against the greatest version that came before: NEWER, SAME or OLDER; NEWER if first.
+
+    ``block`` cuts the arrivals of a key into stretches that follow one another (a day, say), so that a key with very many
+    payloads is spread: a maximum for each stretch, a running maximum over the stretches, and one within each.
+    """
     earlier = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max(version).over(earlier)
+    if block is None:
+        told = payloads.withColumn("_seen", F.max(version).over(earlier))
+    else:
+        cut = payloads.withColumn("_block", block)
+        most = cut.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_at")).agg(F.max(version).alias("_most"))
+        before = most.withColumn("_before", F.max("_most").over(Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)))
+        within = Window.partitionBy(key, "_block").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+        met = cut.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_at")))
+        told = met.withColumn("_seen", F.greatest("_before", F.max(version).over(within))).drop("_key", "_at", "_most", "_before", "_block")
+    seen = F.col("_seen")
     verdict = F.when(seen.isNull() | (F.col(version) > seen), "NEWER").when(F.col(version) == seen, "SAME").otherwise("OLDER")
-    return payloads.withColumn("verdict", verdict)
+    return told.withColumn("verdict", verdict).drop("_seen")
 
 
 def rotation(ids: DataFrame, id_column: str, day_number: int, stride: int, limit: int) -> DataFrame:
@@ -55,13 +68,32 @@ def rotation(ids: DataFrame, id_column: str, day_number: int, stride: int, limit
     return placed.withColumn("turn", turn).where(F.col("turn") < limit).select(id_column, "turn")
 
 
-def rolling_count(events: DataFrame, key: str, seconds: Column, width: int) -> DataFrame:
-    """Events of the key in the last ``width`` seconds, both ends counted."""
-    window = Window.partitionBy(key).orderBy(seconds).rangeBetween(-width, 0)
-    return events.withColumn("in_window", F.count("*").over(window))
+def rolling_count(events: DataFrame, key: str, at: Column, width: int, block: int | None = None) -> DataFrame:
+    """Events with ``in_window``: those of the key in the last ``width`` units, both ends counted.
+
+    Time is cut into blocks of ``block`` units, at least ``width`` (24 times that if none is given). An event is also sent to the
+    next block, so that each finds its window in its own block and a hot key is spread over as many groups as it has blocks.
+    """
+    block = block or 24 * width
+    if block < width:
+        raise ValueError("a block must be at least as long as the window")
+    here = F.floor(F.col("_at") / block)
+    sent = events.withColumn("_at", at).withColumn("_here", here).withColumn("_block", F.explode(F.array(F.col("_here"), F.col("_here") + 1)))
+    near = sent.where((F.col("_block") == F.col("_here")) | (F.col("_at") >= F.col("_block") * block - width))
+    window = Window.partitionBy(key, "_block").orderBy("_at").rangeBetween(-width, 0)
+    return near.withColumn("in_window", F.count("*").over(window)).where("_block = _here").drop("_at", "_here", "_block")
+
 
+def settled(events: DataFrame, key: str, at: Column, tie: str, quiet: int, block: int | None = None) -> DataFrame:
+    """Events that are followed by none of the same key for more than ``quiet`` units (debounce).
 
-def settled(events: DataFrame, key: str, at: Column, tie: str, quiet: float) -> DataFrame:
-    """Events that are followed by none of the same key for more than ``quiet`` (debounce)."""
-    following = F.lead(at).over(Window.partitionBy(key).orderBy(at, tie))
-    return events.where(F.lit(True)).withColumn("following", following).where(F.col("following").isNull() | (F.col("following") - at > quiet)).drop("following")
+    In blocks of time as :func:`rolling_count`; an event near the start of a block is also sent to the one before.
+    """
+    block = block or 24 * quiet
+    if block < quiet:
+        raise ValueError("a block must be at least as long as the pause")
+    sent = events.withColumn("_at", at).withColumn("_here", F.floor(F.col("_at") / block)).withColumn("_block", F.explode(F.array(F.col("_here"), F.col("_here") - 1)))
+    near = sent.where((F.col("_block") == F.col("_here")) | (F.col("_at") <= (F.col("_block") + 1) * block + quiet))
+    following = F.lead("_at").over(Window.partitionBy(key, "_block").orderBy("_at", tie))
+    told = near.withColumn("_next", following).where("_block = _here").where(F.col("_next").isNull() | (F.col("_next") - F.col("_at") > quiet))
+    return told.drop("_at", "_here", "_block", "_next")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import spans
 from factloom.functions.claims import extract_claims
-from factloom.operators.graph import bounded_walk
+from factloom.operators.graph import bounded_walk, index_crawl as crawl, linked_from
 from factloom.operators.resolve import reconcile
 from factloom.session import shared_dir, table
 from factloom.streaming import folds
@@ -30,10 +30,18 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
 
 
-@query()
+_E = "e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(f"""
+WITH RECURSIVE {_E},
+r AS (SELECT user_id, event_id, n, true AS admitted, CAST(0 AS BIGINT) AS retry_after, [t] AS kept FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, len(live) < 3, CASE WHEN len(live) < 3 THEN 0 ELSE CAST(greatest(1, ceil(live[1] + 86400 - t)) AS BIGINT) END, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END
+  FROM (SELECT e.*, list_filter(r.kept, lambda x: x >= e.t - 86400) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, admitted, retry_after FROM r""")
 def rate_limited_events(spark: SparkSession, d: str) -> DataFrame:
     """Admission of at most 3 events of a user in a day; only admitted ones count."""
-    return folds.fold(_events(spark, d).select("user_id", "event_id", "t"), "user_id", ["t", "event_id"], folds.rate_limit(3, 86_400.0), "user_id long, event_id long, admitted boolean, retry_after long")
+    return folds.fold_columns(_events(spark, d).select("user_id", "event_id", "t"), "user_id", ["t", "event_id"], folds.rate_limit_columns(3, 86_400.0), "user_id long, event_id long, admitted boolean, retry_after long")
 
 
 @query("""
@@ -43,13 +51,19 @@ r AS (SELECT user_id, event_id, t, n, t AS last, true AS accepted FROM e WHERE n
 SELECT user_id, event_id, accepted FROM r""")
 def cooled_down_events(spark: SparkSession, d: str) -> DataFrame:
     """Events at least a day after the last accepted one of their user."""
-    return folds.fold(_events(spark, d).select("user_id", "event_id", "t"), "user_id", ["t", "event_id"], folds.cool_down(86_400.0), "user_id long, event_id long, accepted boolean")
+    return folds.fold_columns(_events(spark, d).select("user_id", "event_id", "t"), "user_id", ["t", "event_id"], folds.cool_down_columns(86_400.0), "user_id long, event_id long, accepted boolean")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_E},
+r AS (SELECT user_id, event_id, n, true AS granted, 0.0::DOUBLE AS delay, [t] AS kept FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, len(live) < 2, CASE WHEN len(live) < 2 THEN 0.0 ELSE live[1] + 43200 + 1 - t END, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END
+  FROM (SELECT e.*, list_filter(r.kept, lambda x: x > e.t - 43200) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, granted, round(delay, 3) AS delay FROM r""")
 def rolling_quota_events(spark: SparkSession, d: str) -> DataFrame:
     """At most 2 events of a user in 12 hours, the others with the delay they must wait."""
-    return folds.fold(_events(spark, d).select("user_id", "event_id", "t"), "user_id", ["t", "event_id"], folds.rolling_quota(2, 43_200.0), "user_id long, event_id long, granted boolean, delay double")
+    told = folds.fold_columns(_events(spark, d).select("user_id", "event_id", "t"), "user_id", ["t", "event_id"], folds.rolling_quota_columns(2, 43_200.0), "user_id long, event_id long, granted boolean, delay double")
+    return told.withColumn("delay", F.round("delay", 3))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -84,6 +98,41 @@ def bounded_link_walk(spark: SparkSession, d: str) -> DataFrame:
     return bounded_walk(edges, spark.createDataFrame([("o0",)], "node string"), 2).select("node", "depth")
 
 
+_EDGES = "edges AS (SELECT DISTINCT 'o' || l_orderkey AS source, 'p' || l_partkey AS target, 'line ' || l_linenumber AS anchor FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey, 'order' FROM lineitem)"
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("o"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("line "), "l_linenumber").alias("a"))
+    return rows.select(F.col("o").alias("source"), F.col("p").alias("target"), F.col("a").alias("anchor")).unionByName(rows.select(F.col("p").alias("source"), F.col("o").alias("target"), F.lit("order").alias("anchor")))
+
+
+@query(f"""
+WITH {_EDGES}, seeds AS (SELECT DISTINCT 'o' || l_orderkey AS node FROM lineitem WHERE l_orderkey % 50 = 0), l1 AS (SELECT DISTINCT target AS node FROM edges JOIN seeds ON source = node)
+SELECT node, 0 AS depth FROM seeds UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT DISTINCT target, 2 FROM edges JOIN l1 ON source = l1.node WHERE target NOT IN (SELECT node FROM seeds)""")
+def growing_link_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and parts within two steps of every fiftieth order: the seeds grow with the table."""
+    shared_dir(spark)
+    seeds = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.concat(F.lit("o"), "l_orderkey").alias("node"))
+    return bounded_walk(_links(spark, d), seeds, 2).select("node", "depth")
+
+
+@query(f"""
+WITH {_EDGES}, seeds AS (SELECT DISTINCT 'p' || l_partkey AS node FROM lineitem WHERE l_partkey % 50 = 0), i1 AS (SELECT DISTINCT target AS node FROM edges JOIN seeds ON source = node WHERE target LIKE 'o%'),
+c AS (SELECT node, 0 AS depth FROM seeds UNION ALL SELECT node, 1 FROM i1), f AS (SELECT target, anchor, source, depth FROM edges JOIN c ON source = node WHERE target NOT LIKE 'o%' AND depth < 2)
+SELECT target AS node, CAST(min(depth) + 1 AS INTEGER) AS depth, array_to_string(list_sort(list(DISTINCT anchor)), ' | ') AS anchors, count(DISTINCT source) AS indexes FROM f GROUP BY target""")
+def index_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth part is an entry page, orders are index pages, parts articles; anchor texts are merged."""
+    shared_dir(spark)
+    entries = table(spark, d, "lineitem").where("l_partkey % 50 = 0").select(F.concat(F.lit("p"), "l_partkey").alias("node"))
+    return crawl(_links(spark, d), entries, 2, lambda t: F.startswith(t, F.lit("o")))
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT target AS node FROM edges WHERE source IN (SELECT 'o' || o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def linked_from_finished(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    return linked_from(_links(spark, d), pages)
+
+
 @query()
 def document_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims about seasons in all documents."""

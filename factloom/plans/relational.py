@@ -54,8 +54,9 @@ def full_outer_diff(spark: SparkSession, d: str) -> DataFrame:
     """First against last snapshot: ids added, removed or changed, and in which fields."""
     fields = ["nextSeasonNumber", "status", "releaseDate", "releaseYear"]
     rows = table(spark, d, "official_series_data").where("tmdbId is not null").withColumn("status", F.upper(F.regexp_replace("status", r"^\s+|\s+$", "")))
-    ends = table(spark, d, "official_series_data").agg(F.min("snapshot_id"), F.max("snapshot_id")).first()
-    old, new = (J.last_by_key(rows.where(F.col("snapshot_id") == s).select("tmdbId", "lastChecked", "row_id", *fields), ["tmdbId"], [F.col("lastChecked"), F.col("row_id")]) for s in ends)
+    ends = F.broadcast(table(spark, d, "official_series_data").agg(F.min("snapshot_id").alias("first"), F.max("snapshot_id").alias("last")))
+    both = rows.join(ends, F.col("snapshot_id").isin(F.col("first"), F.col("last")))
+    old, new = (J.last_by_key(both.where(f"snapshot_id = {s}").select("tmdbId", "lastChecked", "row_id", *fields), ["tmdbId"], [F.col("lastChecked"), F.col("row_id")]) for s in ("first", "last"))
     diff = J.version_diff(old, new, "tmdbId", fields)
     return diff.select(F.col("key").alias("tmdbId"), "change", F.array_join("changed_fields", ",").alias("changed_fields"))
 
@@ -87,15 +88,11 @@ def replay_match_nullsafe(spark: SparkSession, d: str) -> DataFrame:
 WITH s AS (SELECT lower(a) AS alias, min(tmdbId) AS tmdbId FROM (SELECT tmdbId, unnest(aliases) AS a FROM sources) GROUP BY 1)
 SELECT alias, s.tmdbId AS tmdbId, count(doc_id) AS documents FROM s LEFT JOIN documents ON contains(lower(text), alias) GROUP BY ALL""")
 def alias_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Alias in text: the registry's aliases (a dozen sources by definition) go to the texts as one array."""
-    aliases = [r[0] for r in table(spark, d, "sources").select(F.explode(F.transform("aliases", F.lower))).distinct().limit(10_001).collect()]
-    if len(aliases) > 10_000:
-        raise ValueError("the registry of sources is not a small dimension any more")
+    """Alias in text, however many aliases there are: one automaton over all of them, hits counted for each."""
     owners = table(spark, d, "sources").select(F.explode(F.transform("aliases", F.lower)).alias("alias"), "tmdbId").groupBy("alias").agg(F.min("tmdbId").alias("tmdbId"))
-    named = F.array(*map(F.lit, aliases)) if aliases else F.array().cast("array<string>")
-    lowered = table(spark, d, "documents").select(F.lower("text").alias("t")).where("t is not null")
-    hits = lowered.select(F.explode(F.filter(named, lambda a: F.contains(F.col("t"), a))).alias("alias")).groupBy("alias").agg(F.count("*").alias("n"))
-    return owners.join(hits, "alias", "left").select("alias", "tmdbId", F.coalesce("n", F.lit(0)).alias("documents"))
+    lowered = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
+    hits = J.contained(lowered, "t", owners, "alias").groupBy(F.col("phrase").alias("hit")).agg(F.count("*").alias("n"))
+    return owners.join(hits, F.col("alias") == F.col("hit"), "left").select("alias", "tmdbId", F.coalesce("n", F.lit(0)).alias("documents"))
 
 
 @query("""
@@ -165,7 +162,7 @@ SELECT row_id, CASE WHEN seen IS NULL OR lastChecked > seen THEN 'NEWER' WHEN la
 def version_gate(spark: SparkSession, d: str) -> DataFrame:
     """Each delivery against the newest that came before for its series."""
     rows = table(spark, d, "official_series_data").where("tmdbId is not null and lastChecked is not null").withColumn("arrival", F.struct("deliveredAt", "row_id"))
-    return O.version_gate(rows, "tmdbId", "arrival", "lastChecked").select("row_id", "verdict")
+    return O.version_gate(rows, "tmdbId", "arrival", "lastChecked", F.date_trunc("month", "deliveredAt")).select("row_id", "verdict")
 
 
 @query("""

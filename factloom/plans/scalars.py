@@ -26,20 +26,28 @@ def query(sql: str | None = None):
 # Width forms and blanks by code point, accents by DuckDB's own function.
 _FOLD = (
     "trim(regexp_replace(lower(regexp_replace(strip_accents(array_to_string(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248)"
-    " WHEN unicode(c) IN (160, 8239, 8199, 8287, 12288) OR unicode(c) BETWEEN 8192 AND 8202 THEN ' ' WHEN unicode(c) IN (8216, 8217, 8220, 8221) THEN chr(39) ELSE c END), '')), '[^\\x00-\\x7f]+', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+    " WHEN unicode(c) IN (160, 8239, 8199, 8287, 12288) OR unicode(c) BETWEEN 8192 AND 8202 THEN ' ' WHEN list_contains([8544, 8548, 8553, 8556, 8557, 8558, 8559], (unicode(c) - 8544) % 16 + 8544) AND unicode(c) BETWEEN 8544 AND 8575 THEN substr('ivxlcdm', CAST(list_position([8544, 8548, 8553, 8556, 8557, 8558, 8559], (unicode(c) - 8544) % 16 + 8544) AS BIGINT), 1)"
+    " WHEN unicode(c) IN (8216, 8217, 8220, 8221) THEN chr(39) ELSE c END), '')), '[^\\x00-\\x7f]+', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 )
 
 
-@query(f"SELECT row_id, {_FOLD.format('requestedTitle')} AS folded, replace({_FOLD.format('requestedTitle')}, ' ', '-') AS slug FROM hbo_production_evidence")
+def _fold(column: str) -> str:
+    for joined, plain in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl")):
+        column = f"replace({column}, '{joined}', '{plain}')"
+    return _FOLD.format(column)
+
+
+@query(f"SELECT row_id, {_fold('requestedTitle')} AS folded, replace({_fold('requestedTitle')}, ' ', '-') AS slug FROM hbo_production_evidence")
 def folded_titles(spark: SparkSession, d: str) -> DataFrame:
     title = F.col("requestedTitle")
     folded = table(spark, d, "hbo_production_evidence").select("row_id", X.normalized(title).alias("folded"))
     return folded.select("row_id", "folded", F.replace("folded", F.lit(" "), F.lit("-")).alias("slug"))
 
 
-@query(f"""SELECT row_id, array_to_string(list_sort(list_distinct(list_filter(string_split({_FOLD.format('title')}, ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'of', 'for', 'with')))), ' ') AS words FROM hbo_max_qualification_cases""")
+@query(f"""SELECT row_id, array_to_string(list_sort(list_distinct(list_filter(string_split({_fold('title')}, ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'of', 'for', 'with')))), ' ') AS words FROM hbo_max_qualification_cases""")
 def title_words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "hbo_max_qualification_cases").select("row_id", F.array_join(F.array_sort(X.words(F.col("title"))), " ").alias("words"))
+    rows = table(spark, d, "hbo_max_qualification_cases").select("row_id", X.normalized(F.col("title")).alias("t"))
+    return rows.select("row_id", F.array_join(F.array_sort(X.words(F.col("t"))), " ").alias("words"))
 
 
 @query("""SELECT row_id, lower(regexp_extract(sourceUrl, '^https?://([^/?#:@]+)', 1)) AS host, coalesce(regexp_extract(sourceUrl, '^https?://[^/?#]+([^?#]*)', 1), '') AS path,

@@ -351,7 +351,7 @@ def first_against_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT row_id, ' ' || trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, trim(regexp_replace(lower(requestedTitle), '[^a-z0-9]+', ' ', 'g')) AS a FROM (SELECT row_id, requestedTitle, array_to_string(relevantEvidenceSnippet, ' . ') AS t FROM hbo_production_evidence WHERE relevantEvidenceSnippet IS NOT NULL AND regexp_matches(requestedTitle, '^[ -~]+$'))
+WITH f AS (SELECT row_id, ' ' || trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, trim(regexp_replace(lower(requestedTitle), '[^a-z0-9]+', ' ', 'g')) AS a FROM (SELECT row_id, requestedTitle, coalesce(array_to_string(relevantEvidenceSnippet, ' . '), '') AS t FROM hbo_production_evidence WHERE relevantEvidenceSnippet IS NOT NULL AND regexp_matches(requestedTitle, '^[ -~]+$'))
 WHERE regexp_matches(t, '^[ -~]*$'))
 SELECT row_id, (length(t) - length(replace(t, ' ' || a || ' ', ''))) / (length(a) + 2) > (length(t) - length(replace(t, ' the ' || a || ' ', ''))) / (length(a) + 6) AS named FROM f WHERE a <> ''""")
 def title_named_without_article(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -20,58 +22,101 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SILENT = {"script", "style", "noscript", "template"}
 AROUND = {"nav", "aside", "footer"}
 BESIDE = re.compile(r"related|recommend|carousel|breadcrumb|site-footer", re.IGNORECASE)
+ARTICLES = {"Article", "NewsArticle", "BlogPosting", "PressRelease", "Report"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 CHALLENGE = re.compile(r"verify you are human|captcha|access denied|checking your browser|unusual traffic|enable javascript and cookies", re.IGNORECASE)
 
 PAGE = "struct<title: string, heading: string, text: string, links: array<struct<href: string, anchor: string>>, challenge: boolean>"
 
 
-class _Page(HTMLParser):
+class _Events(HTMLParser):
+    """A page as a flat list of events: ("open", tag, attributes), ("close", tag) and ("text", data)."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
-        self.title: list[str] = []
-        self.heading: list[str] = []
-        self.parts: list[str] = []
-        self.links: list[tuple[str, list[str]]] = []
-        self.json_ld: list[list[str]] = []
+        self.events: list[tuple] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        if tag == "a" and a.get("href"):
-            self.links.append((a["href"], []))
-        if tag == "script" and (a.get("type") or "").lower() == "application/ld+json":
-            self.json_ld.append([])
-        if tag not in VOID:
-            hidden = tag in SILENT | AROUND or bool(BESIDE.search(f"{a.get('class') or ''} {a.get('id') or ''}"))
-            self.open.append((tag, hidden))
+        self.events.append(("open", tag, dict(attrs)))
+        if tag in VOID:
+            self.events.append(("close", tag))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.events += [("open", tag, dict(attrs)), ("close", tag)]
 
     def handle_endtag(self, tag: str) -> None:
-        names = [t for t, _ in self.open]
-        if tag in names:
-            del self.open[len(names) - 1 - names[::-1].index(tag) :]
+        if tag not in VOID:
+            self.events.append(("close", tag))
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _ in self.open]
-        if "script" in tags and self.json_ld and tags[-1] == "script":
-            self.json_ld[-1].append(data)
-        if not data.strip() or SILENT & set(tags):
-            return
-        if "title" in tags:
-            self.title.append(data)
-            return
-        if "h1" in tags:
-            self.heading.append(data)
-        if "a" in tags and self.links:
-            self.links[-1][1].append(data)
-        if not any(hidden for _, hidden in self.open):
-            self.parts.append(" ".join(data.split()))
-
-
-def parse(html: str | None) -> _Page:
-    page = _Page()
-    page.feed(html or "")
-    page.close()
+        self.events.append(("text", data))
+
+
+@dataclass
+class Page:
+    """What a page says: texts by where they stand, links, embedded JSON-LD, search forms."""
+
+    title: str = ""
+    heading: str = ""
+    parts: list[str] = field(default_factory=list)
+    links: list[tuple[str, str]] = field(default_factory=list)
+    json_ld: list[str] = field(default_factory=list)
+    forms: list[tuple[str, str, list[str]]] = field(default_factory=list)
+
+
+def _is_beside(tag: str, attrs: dict) -> bool:
+    return tag in AROUND or bool(BESIDE.search(f"{attrs.get('class') or ''} {attrs.get('id') or ''}"))
+
+
+def parse(html: str | None) -> Page:
+    """Walks the events with how deep it stands in each kind of element; an unclosed element ends with its parent."""
+    reader, page = _Events(), Page()
+    reader.feed(html or "")
+    reader.close()
+    path: list[tuple[str, str]] = []  # (tag, role) of the open elements
+    depth = Counter()  # open elements by role and by tag
+    title, heading, script, anchors = [], [], [], []
+
+    def leave() -> None:
+        tag, role = path.pop()
+        depth[tag] -= 1
+        depth[role] -= 1
+
+    for event in reader.events:
+        if event[0] == "open":
+            _, tag, attrs = event
+            role = "json-ld" if tag == "script" and (attrs.get("type") or "").lower() == "application/ld+json" else "silent" if tag in SILENT else "beside" if _is_beside(tag, attrs) else "plain"
+            if role == "json-ld":
+                script.append([])
+            elif tag == "a" and attrs.get("href"):
+                anchors.append((attrs["href"], []))
+            elif tag == "form":
+                page.forms.append((attrs.get("action") or "", (attrs.get("method") or "get").lower(), []))
+            elif tag == "input" and depth["form"] and attrs.get("name"):
+                page.forms[-1][2].append(attrs["name"])
+            path.append((tag, role))
+            depth[tag] += 1
+            depth[role] += 1
+        elif event[0] == "close":
+            if depth[event[1]]:
+                while path[-1][0] != event[1]:
+                    leave()
+                leave()
+        elif depth["json-ld"]:
+            script[-1].append(event[1])
+        elif event[1].strip() and not depth["silent"]:
+            if depth["title"]:
+                title.append(event[1])
+                continue
+            if depth["h1"]:
+                heading.append(event[1])
+            if depth["a"] and anchors:
+                anchors[-1][1].append(event[1])
+            if not depth["beside"]:
+                page.parts.append(" ".join(event[1].split()))
+    page.title, page.heading = (" ".join("".join(x).split()) for x in (title, heading))
+    page.links = [(href, " ".join(" ".join(said).split())) for href, said in anchors]
+    page.json_ld = ["".join(x) for x in script]
     return page
 
 
@@ -83,9 +128,8 @@ def parsed_page(html: Column) -> Column:
         rows = []
         for t in texts:
             p = parse(t)
-            title, heading = (" ".join("".join(x).split()) for x in (p.title, p.heading))
-            head = " ".join([title, heading, *p.parts[:30]])
-            rows.append((title, heading, "\n".join(p.parts), [{"href": h, "anchor": " ".join(" ".join(a).split())} for h, a in p.links], bool(CHALLENGE.search(head))))
+            head = " ".join([p.title, p.heading, *p.parts[:30]])
+            rows.append((p.title, p.heading, "\n".join(p.parts), [{"href": h, "anchor": a} for h, a in p.links], bool(CHALLENGE.search(head))))
         return pd.DataFrame(rows, columns=["title", "heading", "text", "links", "challenge"])
 
     return page(html)
@@ -100,7 +144,7 @@ def json_ld(html: Column) -> Column:
             out = []
             for script in parse(t).json_ld:
                 try:
-                    value = json.loads("".join(script))
+                    value = json.loads(script)
                 except ValueError:
                     continue
                 graph = value.get("@graph", [value]) if isinstance(value, dict) else value
@@ -112,6 +156,82 @@ def json_ld(html: Column) -> Column:
     return nodes(html)
 
 
+def published(html: Column, url: Column) -> Column:
+    """Date of publication by the page's own JSON-LD, yyyy-mm-dd; null unless exactly one day is given.
+
+    Only nodes count that are articles and name this page's URL and its heading.
+    """
+
+    @F.pandas_udf("string")
+    def day(texts: pd.Series, urls: pd.Series) -> pd.Series:
+        def of(t: str | None, u: str | None) -> str | None:
+            p, days = parse(t), set()
+            for script in p.json_ld:
+                try:
+                    value = json.loads(script)
+                except ValueError:
+                    continue
+                graph = value.get("@graph", [value]) if isinstance(value, dict) else value
+                for n in graph if isinstance(graph, list) else []:
+                    kinds = n.get("@type") if isinstance(n, dict) else None
+                    kinds = {kinds} if isinstance(kinds, str) else set(kinds or ())
+                    own = isinstance(n, dict) and " ".join(str(n.get("headline", "")).split()).casefold() == p.heading.casefold() and str(n.get("url") or n.get("mainEntityOfPage") or u) == u
+                    if kinds & ARTICLES and own and re.match(r"\d{4}-\d{2}-\d{2}", str(n.get("datePublished", ""))):
+                        days.add(n["datePublished"][:10])
+            return days.pop() if len(days) == 1 else None
+
+        return pd.Series([of(*x) for x in zip(texts, urls, strict=True)], dtype=object)
+
+    return day(html, url)
+
+
+def search_url(html: Column, base: Column, field: str, domains: list[str], query: Column) -> Column:
+    """The URL that a page's first search form asks for: method get, an input named ``field``, an action on an allowed domain."""
+
+    @F.pandas_udf("string")
+    def asked(texts: pd.Series, bases: pd.Series, queries: pd.Series) -> pd.Series:
+        from urllib.parse import quote_plus, urlsplit
+
+        def of(t: str | None, b: str | None, q: str | None) -> str | None:
+            for action, method, inputs in parse(t).forms if q is not None else []:
+                try:
+                    url = urljoin(b or "", action)
+                    host, scheme = (urlsplit(url).hostname or "").lower(), urlsplit(url).scheme
+                except ValueError:
+                    continue
+                if method == "get" and field in inputs and scheme == "https" and any(host == d or host.endswith("." + d) for d in domains):
+                    return f"{url.partition('?')[0].partition('#')[0]}?{field}={quote_plus(q)}"
+            return None
+
+        return pd.Series([of(*x) for x in zip(texts, bases, queries, strict=True)], dtype=object)
+
+    return asked(html, base, query)
+
+
+def sitemap(xml: Column, most_children: int = 8, most_urls: int = 2500, most_bytes: int = 1 << 20) -> Column:
+    """Struct (kind, links) of a sitemap: index or urlset. Over a limit, malformed, or with a DOCTYPE or ENTITY it has no links; it is never cut."""
+
+    @F.pandas_udf("struct<kind: string, links: array<string>>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        from xml.etree import ElementTree
+
+        def of(t: str | None) -> tuple[str | None, list[str]]:
+            if not t or len(t.encode("utf-8", "replace")) > most_bytes or re.search(r"<!(?:DOCTYPE|ENTITY)", t, re.IGNORECASE):
+                return None, []
+            try:
+                root = ElementTree.fromstring(t.strip())
+            except ElementTree.ParseError:
+                return None, []
+            kind = {"sitemapindex": "index", "urlset": "urlset"}.get(root.tag.rpartition("}")[2])
+            links = [e.text.strip() for e in root.iter() if e.tag.rpartition("}")[2] == "loc" and e.text and e.text.strip()] if kind else []
+            return kind, links if len(links) <= (most_children if kind == "index" else most_urls) else []
+
+        told = [of(t) for t in texts]
+        return pd.DataFrame({"kind": [k for k, _ in told], "links": [x for _, x in told]}, dtype=object)
+
+    return read(xml)
+
+
 def sitemap_links(xml: Column) -> Column:
     """Locations of a sitemap or sitemap index; empty for malformed XML and for any DOCTYPE or ENTITY."""
 
@@ -178,7 +298,8 @@ class FetchReader(DataSourceReader):
         self.urls = [u for u in options.get("urls", "").split() if u]
         self.domains = [d.lower() for d in options.get("domains", "").split()]
         self.tries, self.timeout, self.most = int(options.get("tries", 3)), float(options.get("timeout", 12)), int(options.get("maxbytes", 8 << 20))
-        self.per_task = int(options.get("pertask", 16))
+        self.per_task, self.redirects = int(options.get("pertask", 16)), int(options.get("redirects", 5))
+        self.types = [t.lower() for t in options.get("types", "").split()]
 
     def partitions(self) -> list[InputPartition]:
         return [_Urls(self.urls[i : i + self.per_task]) for i in range(0, len(self.urls), self.per_task)]
@@ -203,6 +324,8 @@ class FetchReader(DataSourceReader):
             def redirect_request(guard, req, fp, code, msg, headers, newurl):  # noqa: N805
                 return super().redirect_request(req, fp, code, msg, headers, newurl) if self.allowed(newurl) else None
 
+        Guard.max_redirections = self.redirects
+
         opener = urllib.request.build_opener(Guard)
         for url in partition.urls:
             if not self.allowed(url):
@@ -212,8 +335,8 @@ class FetchReader(DataSourceReader):
                 try:
                     with opener.open(url, timeout=self.timeout) as r:
                         body = r.read(self.most + 1)
-                        kept = bytes(body) if len(body) <= self.most else None
-                        yield url, "OK" if kept is not None else "TOO_LARGE", r.status, r.geturl(), kept
+                        outcome = "TOO_LARGE" if len(body) > self.most else "OTHER_TYPE" if self.types and r.headers.get_content_type() not in self.types else "OK"
+                        yield url, outcome, r.status, r.geturl(), bytes(body) if outcome == "OK" else None
                     break
                 except urllib.error.HTTPError as e:
                     if (e.code == 429 or e.code >= 500) and attempt + 1 < self.tries:
@@ -229,7 +352,7 @@ class FetchReader(DataSourceReader):
 
 
 class FetchSource(DataSource):
-    """``spark.read.format("fetch")`` with options urls, domains (blank-separated), tries, timeout, maxBytes, perTask.
+    """``spark.read.format("fetch")`` with options urls, domains, types (blank-separated), tries, timeout, maxBytes, redirects, perTask.
 
     Only https pages of allowed domains are fetched and redirects may not leave them; 429, 5xx and transport
     errors are tried again. One row for each URL, in partitions of ``perTask`` URLs.

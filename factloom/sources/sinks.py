@@ -53,6 +53,38 @@ class VersionedTable:
         replace_file(self.spark, f"{self.path}/CURRENT", version)
 
 
+class VersionedSet(VersionedTable):
+    """Several tables, data and log say, that are published together or not at all: a version is a folder with one table each."""
+
+    def read_all(self) -> dict[str, DataFrame]:
+        version = self.current()
+        if version is None:
+            return {}
+        at, fs = hadoop(self.spark, f"{self.path}/{version}")
+        return {s.getPath().getName(): self.spark.read.parquet(s.getPath().toString()) for s in fs.listStatus(at) if s.isDirectory()}
+
+    def publish_all(self, tables: dict[str, DataFrame]) -> str:
+        """Write all tables, read them back, move the pointer; whatever fails before that leaves the old version in place."""
+        from pyspark.sql import Observation
+
+        version = f"v-{uuid.uuid4().hex}"
+        for name, rows in tables.items():
+            seen = Observation()
+            rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{version}/{name}")
+            if self.spark.read.parquet(f"{self.path}/{version}/{name}").count() != seen.get["n"]:
+                raise OSError(f"{name}, read back, is not what was written")
+        self.point(version)
+        return version
+
+
+def write_report(spark: SparkSession, summary: dict, title: str, cases: DataFrame, path: str) -> None:
+    """A report as report.json, report.md and cases.jsonl (a folder); credentials in the summary are redacted, in a case they stop it all."""
+    as_json, as_text = report(summary, title)
+    checked(cases).write.mode("overwrite").json(f"{path}/cases.jsonl")
+    replace_file(spark, f"{path}/report.json", as_json)
+    replace_file(spark, f"{path}/report.md", as_text)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """JSON lines appended to a log folder; nothing is written for no rows."""
     if not rows.isEmpty():

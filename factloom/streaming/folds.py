@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import json
 import math
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -44,6 +47,92 @@ def fold(events: DataFrame, key: str, order: list[str], step: Step, schema: str)
     return ranged.mapInPandas(run, schema)
 
 
+#: A fold over the columns of one key's events: state and columns in, state and output columns out.
+Columns = Callable[[object, dict[str, np.ndarray]], tuple[object, list]]
+
+
+def fold_columns(events: DataFrame, key: str, order: list[str], step: Columns, schema: str) -> DataFrame:
+    """The same over arrays: ``step`` gets the events of a key in a batch as columns and returns those of the output after the key.
+
+    A key that reaches over several batches takes its state along. For steps that can skip events or need no Python for each.
+    """
+    names = [part.split()[0] for part in schema.split(",")]
+    kept = events.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+            keys = columns[key]
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+            out: list[list] = [[] for _ in names]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if keys[a] != now:
+                    now, state = keys[a], None
+                state, told = step(state, {n: c[a:b] for n, c in columns.items()})
+                for column, part in zip(out, [keys[a:b], *told], strict=True):
+                    column.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def cool_down_columns(seconds: float, at: str = "t", event: str = "event_id") -> Columns:
+    """:func:`cool_down` over arrays: from one accepted event the next is found by bisection, the ones between are never touched."""
+
+    def step(last, columns):
+        times, accepted = columns[at], np.zeros(len(columns[at]), dtype=bool)
+        i = 0 if last is None else int(np.searchsorted(times - last, seconds, side="left"))
+        while i < len(times):
+            accepted[i], last = True, times[i]
+            i = i + 1 + int(np.searchsorted(times[i + 1 :] - last, seconds, side="left"))
+        return last, [columns[event], accepted]
+
+    return step
+
+
+def rate_limit_columns(limit: int, window: float, at: str = "t", event: str = "event_id") -> Columns:
+    """:func:`rate_limit` over arrays; only the last ``limit`` admitted times matter."""
+
+    def step(kept, columns):
+        kept = deque() if kept is None else kept
+        times = columns[at].tolist()
+        admitted, waits = np.zeros(len(times), dtype=bool), np.zeros(len(times), dtype=np.int64)
+        for i, now in enumerate(times):
+            while kept and kept[0] < now - window:
+                kept.popleft()
+            if len(kept) < limit:
+                kept.append(now)
+                admitted[i] = True
+            else:
+                waits[i] = max(1, math.ceil(kept[0] + window - now))
+        return kept, [columns[event], admitted, waits]
+
+    return step
+
+
+def rolling_quota_columns(limit: int, window: float, slack: float = 1.0, at: str = "t", event: str = "event_id") -> Columns:
+    """:func:`rolling_quota` over arrays of times that don't go back."""
+
+    def step(kept, columns):
+        kept = deque() if kept is None else kept
+        times = columns[at].tolist()
+        granted, delays = np.zeros(len(times), dtype=bool), np.zeros(len(times))
+        for i, now in enumerate(times):
+            while kept and kept[0] <= now - window:
+                kept.popleft()
+            if len(kept) < limit:
+                kept.append(now)
+                granted[i] = True
+            else:
+                delays[i] = kept[0] + window + slack - now
+        return kept, [columns[event], granted, delays]
+
+    return step
+
+
 class _Fold(StatefulProcessor):
     def __init__(self, step: Step, names: list[str], order: list[str]) -> None:
         self.step, self.names, self.order = step, names, order
@@ -163,6 +252,46 @@ def pending_set(delay: float = 600.0, at: str = "t", kind: str = "kind", receipt
     return step
 
 
+def pending_entry(delay: float = 600.0, at: str = "t", event: str = "event_id") -> Step:
+    """:func:`pending_set` with the event's own id as a submit's receipt; a complete brings the current one unless it is ``wrong``."""
+    inner = pending_set(delay, at)
+
+    def step(state: dict | None, row: dict) -> tuple[dict | None, dict]:
+        brought = row[event] if row["kind"] == "submit" or state is None else -1 if row["wrong"] else state["receipt"]
+        state, told = inner(state, {**row, "receipt": brought})
+        return state, {event: row[event], "outcome": told["outcome"]}
+
+    return step
+
+
+def obligation(pause: float = 86_400.0, at: str = "t", event: str = "event_id") -> Step:
+    """An obligation's phases: prepare, activate, submitted (with a receipt, or without as the old protocol has it), told, verified.
+
+    PREPARED, SUBMIT, RECEIPT, CANONICAL, then nothing. Without a receipt it is LEGACY; told three times that
+    nothing came of it, it is submitted anew, due after ``pause``. An event that doesn't fit the phase changes nothing; a
+    second prepare joins the first.
+    """
+
+    def step(state: dict | None, row: dict) -> tuple[dict | None, dict]:
+        phase, what = (state or {}).get("phase", ""), row["kind"]
+        if what == "prepare" and state is None:
+            state = {"phase": "PREPARED", "due": row[at], "tries": 0}
+        elif what == "activate" and phase == "PREPARED":
+            state = {**state, "phase": "SUBMIT", "due": row[at]}
+        elif what == "submitted" and phase == "SUBMIT":
+            state = {**state, "phase": "LEGACY" if row["receipt"] is None else "RECEIPT", "receipt": row["receipt"]}
+        elif what == "told" and phase == "RECEIPT":
+            state = {**state, "phase": "CANONICAL"}
+        elif what == "told" and phase == "LEGACY":
+            tries = (state["tries"] + 1) % 3
+            state = {**state, "tries": tries, **({} if tries else {"phase": "SUBMIT", "due": row[at] + pause})}
+        elif what == "verified" and phase == "CANONICAL":
+            state = None
+        return state, {event: row[event], "phase": (state or {}).get("phase", "")}
+
+    return step
+
+
 def tumbling_counts(events: DataFrame, at: str, label: str, width: str, late: str | None = None) -> DataFrame:
     """Counts of each label in windows of ``width``; for streams with the watermark ``late``."""
     marked = events.withWatermark(at, late) if late else events
