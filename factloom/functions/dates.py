@@ -20,18 +20,25 @@ def iso_date(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(c, 1, 10).try_cast("date"))
 
 
+_EN = "|".join(MONTHS) + "|" + "|".join(m[:3] for m in MONTHS)
+_MONTH_FIRST = rf"(?i)\b({_EN})\.? (\d{{1,2}})(?:st|nd|rd|th)?(?:,? (\d{{4}}))?\b"
+_DAY_FIRST = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)? ({_EN})\.?(?:,? (\d{{4}}))?\b"
+#: A text without a match has no English date.
+ANY_ENGLISH_DATE = rf"(?i)\b(?:{_EN})\.? \d{{1,2}}(?:st|nd|rd|th)?(?:,? \d{{4}})?\b|\b\d{{1,2}}(?:st|nd|rd|th)? (?:{_EN})\b"
+
+
 def english_date(c: Column, announced: Column) -> Column:
-    """First "Month D[st], YYYY" or "D Month YYYY"; without a year the announcement's, or the next if it would precede it.
+    """First "Month D[st], YYYY", else first "D Month YYYY"; without a year the announcement's, or the next if it would precede it.
 
-    Full names and three-letter forms count. Null for impossible days and where no date is found.
+    Full names and three-letter forms count. Null for impossible days and where no date is found. The text is searched once
+    for each of the two orders; what is found is taken apart afterwards.
     """
-    names = "|".join(MONTHS) + "|" + "|".join(m[:3] for m in MONTHS)
-    a = rf"(?i)\b({names})\.? (\d{{1,2}})(?:st|nd|rd|th)?(?:,? (\d{{4}}))?\b"
-    b = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)? ({names})\.?(?:,? (\d{{4}}))?\b"
-    first = F.regexp_extract(c, a, 1) != ""
-    month = _month(F.when(first, F.regexp_extract(c, a, 1)).otherwise(F.regexp_extract(c, b, 2)), MONTHS, True)
-    day = F.when(first, F.regexp_extract(c, a, 2)).otherwise(F.regexp_extract(c, b, 1)).try_cast("int")
-    year = F.when(first, F.regexp_extract(c, a, 3)).otherwise(F.regexp_extract(c, b, 3)).try_cast("int")
+    found = F.regexp_extract(c, _MONTH_FIRST, 0)
+    said = F.when(found != "", found).otherwise(F.regexp_extract(c, _DAY_FIRST, 0))
+    month = _month(F.regexp_extract(said, r"([A-Za-z]{3,})\.?(?: |,|$)", 1), MONTHS, True)
+    month = F.coalesce(month, _month(F.regexp_extract(said, r"^([A-Za-z]+)", 1), MONTHS, True))
+    day = F.regexp_extract(said, r"(?:^|[^\d])(\d{1,2})(?!\d)", 1).try_cast("int")
+    year = F.regexp_extract(said, r"(\d{4})$", 1).try_cast("int")
 
     def made(y: Column) -> Column:
         return F.format_string("%04d-%02d-%02d", y, month, day).try_cast("date")

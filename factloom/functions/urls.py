@@ -27,6 +27,12 @@ def on_domains(url: Column, domains: Column) -> Column:
     return F.coalesce(safe & below, F.lit(False))
 
 
+def on_hosts(url: Column, hosts: list[str]) -> Column:
+    """https, no user, port 443 if any, and exactly one of the hosts, none below them."""
+    safe = (F.lower(part(url, 1)) == "https") & part(url, 2).isNull() & F.coalesce(part(url, 4), F.lit("443")).isin("443")
+    return F.coalesce(safe & host(url).isin(*hosts), F.lit(False))
+
+
 def canonical(url: Column) -> Column:
     """Lower scheme and host, no fragment, no trailing slash, query without tracking parameters and sorted."""
     path = F.regexp_replace(F.coalesce(part(url, 5), F.lit("")), "/+$", "")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import data_ops, facts, flows, measures, queue, relational, scalars, shapes
+from factloom.plans import connectors, data_ops, facts, flows, measures, queue, relational, scalars, shapes
 
-_PARTS = (data_ops, relational, measures, scalars, flows, shapes, facts, queue)
+_PARTS = (data_ops, relational, measures, scalars, flows, shapes, facts, queue, connectors)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

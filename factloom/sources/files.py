@@ -89,18 +89,34 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def sqlite_table(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    """A table of one SQLite file, read by one task; for the small state files of a single-node service."""
+def sqlite_table(
+    spark: SparkSession, path: str, table: str, schema: str, where: str | None = None, order: str | None = None, limit: int | None = None, tasks: int = 1
+) -> DataFrame:
+    """A table of one SQLite file, of which the columns of ``schema`` are read.
+
+    ``where``, ``order`` and ``limit`` are SQL and go to SQLite, so that its indexes serve them. With ``tasks`` the table is read
+    in as many ranges of its row ids (not together with a limit); the file must be where all executors see it.
+    """
+    if limit is not None and tasks > 1:
+        raise ValueError("a limit needs one task")
+    columns = ", ".join('"' + f.name.replace('"', '""') + '"' for f in T.StructType.fromDDL(schema))
+    quoted = '"' + table.replace('"', '""') + '"'
 
     def read(batches):
         import sqlite3
 
-        for pdf in batches:
-            for file, name in zip(pdf["file"], pdf["name"], strict=True):
-                with sqlite3.connect(f"file:{file}?mode=ro", uri=True) as db:
-                    yield pd.read_sql_query('SELECT * FROM "' + name.replace('"', '""') + '"', db)
-
-    return spark.createDataFrame([(path, table)], "file string, name string").coalesce(1).mapInPandas(read, schema)
+        for batch in batches:
+            for task in batch["id"]:
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+                    conditions = [f"({where})"] if where else []
+                    if tasks > 1:
+                        lo, hi = db.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), 0) + 1 FROM {quoted}").fetchone()
+                        a, b = (lo + (hi - lo) * k // tasks for k in (task, task + 1))
+                        conditions.append(f"rowid >= {a} AND rowid < {b}")
+                    sql = f"SELECT {columns} FROM {quoted}" + (" WHERE " + " AND ".join(conditions) if conditions else "") + (f" ORDER BY {order}" if order else "") + (f" LIMIT {int(limit)}" if limit is not None else "")
+                    yield from pd.read_sql_query(sql, db, chunksize=50_000)
+
+    return spark.range(0, tasks, 1, tasks).mapInPandas(read, schema)
 
 
 def strict_object(text: Column, keys: dict[str, str]) -> Column:

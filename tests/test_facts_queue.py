@@ -277,3 +277,18 @@ def test_long_fields_come_back_whole(spark):
     df = spark.createDataFrame([(text,)], "t string")
     line = df.select(C.encode_line(1, [F.col("t")]).alias("l"))
     assert line.select(C.decode_line(F.col("l"), 1, ["t"]).alias("x")).first().x.t == text
+
+
+def test_sqlite_does_the_work(spark, tmp_path):
+    import sqlite3
+
+    from factloom.sources import files
+
+    with sqlite3.connect(tmp_path / "x.db") as db:
+        db.execute("CREATE TABLE t (k INTEGER, v TEXT, w REAL)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, f"v{i}", i / 2) for i in range(100)])
+    path = str(tmp_path / "x.db")
+    assert [tuple(r) for r in files.sqlite_table(spark, path, "t", "k long, v string", "k >= 10", "k DESC", 2).collect()] == [(99, "v99"), (98, "v98")]
+    assert sorted(r.k for r in files.sqlite_table(spark, path, "t", "k long", "k % 2 = 0", tasks=4).collect()) == list(range(0, 100, 2))
+    with pytest.raises(ValueError):
+        files.sqlite_table(spark, path, "t", "k long", limit=1, tasks=2)
