@@ -41,6 +41,29 @@ def mass_change(changes: DataFrame, unit: str, most: int) -> DataFrame:
     return changes.groupBy(unit).agg(F.count("*").alias("changes")).withColumn("blocked", F.col("changes") > most)
 
 
+def publication_boundary(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str], old_log: DataFrame, new_log: DataFrame, ids: int = 1, lines: int = 1) -> DataFrame:
+    """What a publication did beyond its bounds, as rows (rule, n): none if it is well.
+
+    It may change, add or remove ``ids`` keys and append ``lines`` to the log (position, line); "log lines lost" counts lines of
+    the old log that the new one has not or has otherwise. Both tables have unique keys, logs unique positions.
+    """
+    from factloom.operators.joins import version_diff
+
+    changed = version_diff(old, new, key, fields).agg(F.count("*").alias("n")).where(F.col("n") != ids)
+    kept = old_log.select("position", "line").join(new_log.select("position", F.col("line").alias("_new")), "position", "left")
+    lost = kept.agg(F.count_if(~F.col("line").eqNullSafe(F.col("_new"))).alias("n")).where("n > 0")
+    added = new_log.join(old_log.select("position"), "position", "left_anti").agg(F.count("*").alias("n")).where(F.col("n") != lines)
+    parts = (("changed ids", changed), ("log lines lost", lost), ("log lines added", added))
+    return parts[0][1].select(F.lit(parts[0][0]).alias("rule"), "n").unionByName(parts[1][1].select(F.lit(parts[1][0]).alias("rule"), "n")).unionByName(parts[2][1].select(F.lit(parts[2][0]).alias("rule"), "n"))
+
+
+def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Files (path, change) of two manifests (path, sha256) that were added, removed or changed."""
+    from factloom.operators.joins import version_diff
+
+    return version_diff(old, new, "path", ["sha256"]).select(F.col("key").alias("path"), "change")
+
+
 def is_appended(old_log: str, new_log: str, lines: int = 1) -> bool:
     """Whether a log grew by exactly so many lines and kept what it had."""
     return new_log.startswith(old_log) and new_log[len(old_log) :].count("\n") == lines and new_log.endswith("\n")

@@ -108,7 +108,7 @@ _LIST = "['one','first','two','second','three','third','four','fourth','five','f
 
 @query(f"""
 WITH s AS (SELECT row_id, CAST(generate_subscripts(relevantEvidenceSnippet, 1) - 1 AS INTEGER) AS pos, lower(unnest(relevantEvidenceSnippet)) AS t FROM hbo_production_evidence),
-w AS (SELECT row_id, pos, regexp_extract(t, '\\bseason ([0-9]+|{_NUM})\\b', 1) AS a, regexp_extract(t, '\\b([0-9]+|{_NUM})(?:st|nd|rd|th)? (?:and final )?season\\b', 1) AS b FROM s)
+w AS (SELECT row_id, pos, regexp_extract(t, '(?:^|[^\\pL\\pN_])season ([0-9]+|{_NUM})(?:$|[^\\pL\\pN_])', 1) AS a, regexp_extract(t, '(?:^|[^\\pL\\pN_])([0-9]+|{_NUM})(?:st|nd|rd|th)? (?:and final )?season(?:$|[^\\pL\\pN_])', 1) AS b FROM s)
 SELECT row_id, pos, CAST(coalesce(try_cast(nullif(a, '') AS INTEGER), (nullif(list_position({_LIST}, a), 0) + 1) // 2, try_cast(nullif(b, '') AS INTEGER), (nullif(list_position({_LIST}, b), 0) + 1) // 2) AS INTEGER) AS season FROM w WHERE a <> '' OR b <> ''""")
 def snippet_seasons(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "hbo_production_evidence").select("row_id", F.posexplode("relevantEvidenceSnippet").alias("pos", "t"))
@@ -162,3 +162,144 @@ def line_codec(spark: SparkSession, d: str) -> DataFrame:
 def strict_objects(spark: SparkSession, d: str) -> DataFrame:
     """Whether a JSON text is exactly the object that is expected: its keys once each, values of the right type."""
     return table(spark, d, "events").select("event_id", files.strict_object(F.col("props"), {"k": "int"}).alias("strict"))
+
+
+def _hmac_sql(message: str, secret: bytes) -> str:
+    """HMAC-SHA256 by its definition: the two pads are constants of the secret."""
+    key = secret.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in key).hex() for pad in (0x36, 0x5C))
+    return f"sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({message}))))"
+
+
+_SECRET = b"not a secret"
+
+
+@query(f"SELECT event_id, {_hmac_sql(chr(39) + chr(39) + ' || CAST(floor(epoch(ts) / 86400) AS BIGINT) || ' + chr(39) + ':' + chr(39) + ' || user_id', _SECRET)} AS pseudonym FROM events")
+def daily_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    """Keyed pseudonyms of users that change at midnight UTC."""
+    from factloom.functions import codes as C
+
+    e = table(spark, d, "events")
+    return e.select("event_id", C.daily_pseudonym(F.col("user_id").cast("string"), F.col("ts").cast("timestamp"), _SECRET).alias("pseudonym"))
+
+
+@query("""SELECT user_id, array_to_string(list_sort(list(t)), ',') AS last_three FROM (SELECT user_id, epoch_us(ts) AS t FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3) GROUP BY user_id""")
+def last_three_times(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last three instants in order; the others go before the shuffle."""
+    from factloom.operators import ordering as O
+
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    top = O.top_per_group(e, "user_id", [F.desc("t"), F.desc("event_id")], 3)
+    return top.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t.cast("string")), ",").alias("last_three"))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT snapshot_id, lag(snapshot_id) OVER (ORDER BY snapshot_id) AS previous FROM (SELECT DISTINCT snapshot_id FROM official_series_data)),
+r AS (SELECT DISTINCT snapshot_id, tmdbId, sourceUrl FROM official_series_data WHERE tmdbId IS NOT NULL QUALIFY row_number() OVER (PARTITION BY snapshot_id, tmdbId ORDER BY row_id) = 1),
+o AS (SELECT * FROM r WHERE snapshot_id = (SELECT max(previous) FROM s)), n AS (SELECT * FROM r WHERE snapshot_id = (SELECT max(snapshot_id) FROM s)),
+c AS (SELECT count(*) AS k FROM o FULL JOIN n ON o.tmdbId = n.tmdbId WHERE o.sourceUrl IS DISTINCT FROM n.sourceUrl OR o.tmdbId IS NULL OR n.tmdbId IS NULL), l AS (SELECT max(row_id) AS last FROM changes)
+SELECT 'changed ids' AS rule, k AS n FROM c WHERE k <> 1 UNION ALL SELECT 'log lines added', count(*) FROM changes WHERE row_id > (SELECT last - 2 FROM l) HAVING count(*) <> 1""")
+def publication_boundary(spark: SparkSession, d: str) -> DataFrame:
+    """A publication may change one id and add one line to the log, and must keep all lines before; here it does more."""
+    from factloom.operators import joins as J
+
+    rows = table(spark, d, "official_series_data").where("tmdbId is not null")
+    ends = F.broadcast(rows.select("snapshot_id").distinct().orderBy(F.desc("snapshot_id")).limit(2).agg(F.min("snapshot_id").alias("first"), F.max("snapshot_id").alias("last")))
+    both = rows.join(ends, F.col("snapshot_id").isin(F.col("first"), F.col("last")))
+    old, new = (J.last_by_key(both.where(f"snapshot_id = {s}").select("tmdbId", "row_id", "sourceUrl"), ["tmdbId"], [-F.col("row_id")]) for s in ("first", "last"))
+    log = table(spark, d, "changes").select(F.col("row_id").alias("position"), F.coalesce("title", F.lit("")).alias("line"))
+    last = F.broadcast(log.agg(F.max("position").alias("end")))
+    before = log.join(last, F.col("position") <= F.col("end") - 2).drop("end")
+    return V.publication_boundary(old, new, "tmdbId", ["sourceUrl"], before, log)
+
+
+@query("""
+SELECT row_id, array_to_string(regexp_extract_all(lower(nfc_normalize(array_to_string(list_transform(string_split(replace(replace(title, '&amp;', '&'), '&#39;', chr(39)), ''), lambda c: CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) WHEN unicode(c) IN (160, 12288) THEN ' ' ELSE c END), ''))), '[\\p{L}\\p{N}_]+'), ' ') AS t
+FROM official_series_data WHERE regexp_matches(title, '^[\\x20-\\x7e\\x{a0}-\\x{17f}\\x{300}-\\x{301}\\x{ff01}-\\x{ff5e}\\x{3000}]*$')""")
+def accent_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of Latin letters in compatibility form with their accents, words joined by single blanks."""
+    rows = table(spark, d, "official_series_data").where(F.col("title").rlike(r"^[\x20-\x7e\u00a0-\u017f\u0300-\u0301\uff01-\uff5e\u3000]*$"))
+    return rows.select("row_id", X.kept_accents(F.col("title")).alias("t"))
+
+
+def _escaped(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+
+
+_BLANKS = "trim(regexp_replace({}, '[ \\t\\n\\f\\r\\v]+', ' ', 'g'), ' ')"
+
+
+@query(f"""
+SELECT doc_id, {_BLANKS.format("coalesce(title, '') || ' | site'")} AS title, {_BLANKS.format("coalesce(title, '-')")} AS heading, CAST(2 AS INTEGER) AS links, url AS first_href, {_BLANKS.format("'read ' || coalesce(title, '')")} AS anchor, md5({_BLANKS.format("coalesce(title, '-')")} || ' / The text. / read' || CASE WHEN {_BLANKS.format("coalesce(title, '')")} = '' THEN '' ELSE ' / ' || {_BLANKS.format("coalesce(title, '')")} END) AS shown, coalesce(lang, '') = 'xx' AS challenge
+FROM documents WHERE url IS NOT NULL""")
+def wrapped_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages made of each document's title and URL, with a menu, a script and a related block, and what is read from them."""
+    from factloom.sources import pages
+
+    title = _escaped(F.coalesce("title", F.lit("")))
+    html = F.concat(
+        F.lit("<html><head><title>"), title, F.lit(" | site</title><script>var a = '<p>no</p>';</script></head><body><nav>Menu</nav><h1>"), _escaped(F.coalesce("title", F.lit("-"))),
+        F.lit("</h1><p>The text.<p><a href=\""), _escaped(F.col("url")), F.lit("\">read <b>"), title, F.lit("</b></a><div class='related'>Other <a href='/x'>one</a></div><footer>End</footer></body></html>"),
+    )
+    rows = table(spark, d, "documents").where("url is not null").select("doc_id", pages.parsed_page(html).alias("p"))
+    return rows.select(
+        "doc_id", "p.title", "p.heading", F.size("p.links").alias("links"), F.col("p.links")[0]["href"].alias("first_href"), F.col("p.links")[0]["anchor"].alias("anchor"),
+        F.md5(F.replace("p.text", F.lit("\n"), F.lit(" / "))).alias("shown"), "p.challenge",
+    )
+
+
+@query("SELECT doc_id, strftime(publication_date, '%Y-%m-%d') AS day FROM documents WHERE url IS NOT NULL AND publication_date IS NOT NULL")
+def published_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days of publication from JSON-LD made for each document, beside a node of another page that must not count."""
+    from factloom.sources import pages
+
+    docs = table(spark, d, "documents").where("url is not null and publication_date is not null")
+    node = F.to_json(F.struct(F.lit("NewsArticle").alias("@type"), F.lit("News").alias("headline"), F.col("url"), F.concat(F.date_format("publication_date", "yyyy-MM-dd"), F.lit("T08:00:00Z")).alias("datePublished")))
+    other = F.lit('{"@type":"NewsArticle","headline":"News","url":"https://other.example/","datePublished":"1999-01-01"}')
+    html = F.concat(*[x for script in (node, other, F.lit("{broken")) for x in (F.lit('<script type="application/ld+json">'), script, F.lit("</script>"))], F.lit("<h1> News </h1>"))
+    return docs.select("doc_id", pages.published(html, F.col("url")).alias("day"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'urlset' WHEN 1 THEN 'index' WHEN 3 THEN 'urlset' END AS kind, CASE doc_id % 4 WHEN 0 THEN url || '|' || url || '/b' WHEN 1 THEN url ELSE '' END AS links FROM documents WHERE url IS NOT NULL""")
+def sitemap_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Sitemaps of four kinds: a list, an index, one with a DOCTYPE, and one over the limit, which gives nothing at all."""
+    from factloom.sources import pages
+
+    url, k = _escaped(F.col("url")), F.col("doc_id") % 4
+    loc = F.concat(F.lit("<loc>"), url, F.lit("</loc>"))
+    two = F.concat(F.lit("<urlset><url>"), loc, F.lit("</url><url><loc>"), url, F.lit("/b</loc></url></urlset>"))
+    xml = F.when(k == 0, two).when(k == 1, F.concat(F.lit("<sitemapindex><sitemap>"), loc, F.lit("</sitemap></sitemapindex>"))).when(k == 2, F.concat(F.lit("<!DOCTYPE x>"), two)).otherwise(
+        F.concat(F.lit("<urlset>"), F.repeat(F.concat(F.lit("<url>"), loc, F.lit("</url>")), 4), F.lit("</urlset>"))
+    )
+    rows = table(spark, d, "documents").where("url is not null").select("doc_id", pages.sitemap(xml, most_urls=3).alias("s"))
+    return rows.select("doc_id", "s.kind", F.array_join("s.links", "|").alias("links"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 OR contains(text, chr(65533)) THEN NULL ELSE md5(text) END AS digest FROM documents WHERE text IS NOT NULL")
+def strictly_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as bytes in a declared or undeclared charset and back; an unknown charset gives nothing."""
+    from factloom.sources import pages
+
+    k = F.col("doc_id") % 3
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("b"), F.when(k == 0, "utf-8").when(k == 2, "no-such-charset").alias("c"))
+    return docs.select("doc_id", F.md5(pages.decoded_html(F.col("b"), F.col("c"))).alias("digest"))
+
+
+@query("SELECT row_id, regexp_extract(url, '^https?://[^/?#]+', 0) || '/a/' || row_id || '?x=1' AS url FROM wbd_hbo_max_web_research WHERE url IS NOT NULL")
+def resolved_links(spark: SparkSession, d: str) -> DataFrame:
+    """Relative links against the page they stand on."""
+    from factloom.sources import pages
+
+    w = table(spark, d, "wbd_hbo_max_web_research").where("url is not null")
+    return w.select("row_id", pages.resolved(F.col("url"), F.concat(F.lit("/b/../a/"), F.col("row_id").cast("string"), F.lit("?x=1#top"))).alias("url"))
+
+
+@query("SELECT row_id, regexp_extract(url, '^https?://[^/?#]+', 0) || '/find?s=' || row_id || '+a%26b' AS asked FROM wbd_hbo_max_web_research WHERE url IS NOT NULL AND url LIKE 'https://%.example/%'")
+def search_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The URL that a page's search form asks for; forms of another method or without the field are passed over."""
+    from factloom.sources import pages
+
+    html = F.lit("<form method=post action='/no'><input name=s></form><form action='/other'><input name=q></form><form action='/find#x'><input name='s'></form>")
+    w = table(spark, d, "wbd_hbo_max_web_research").where("url like 'https://%.example/%'")
+    return w.select("row_id", pages.search_url(html, F.col("url"), "s", ["example"], F.concat(F.col("row_id").cast("string"), F.lit(" a&b"))).alias("asked"))

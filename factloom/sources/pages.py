@@ -6,6 +6,7 @@ result, never an exception.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from collections import Counter
@@ -277,7 +278,7 @@ def decoded_html(payload: Column, charset: Column) -> Column:
     def text(payloads: pd.Series, charsets: pd.Series) -> pd.Series:
         def one(p: bytes | None, c: str | None) -> str | None:
             try:
-                t = bytes(p).decode(c or "utf-8") if p is not None else None
+                t = bytes(p).decode(codecs.lookup(c or "utf-8").name) if p is not None else None
             except (UnicodeDecodeError, LookupError):
                 return None
             return None if t is None or "�" in t else t

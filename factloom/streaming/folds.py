@@ -316,6 +316,19 @@ def drop_repeats(events: DataFrame, keys: list[str], at: str, late: str) -> Data
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
+def watch_view(tracked: DataFrame, *dimensions: tuple[DataFrame, str, str]) -> DataFrame:
+    """A stream (or table) of tracked series with the columns of dimensions beside them, null where there is nothing.
+
+    Each dimension is (table, column of ``tracked``, key of the table, which must be unique). Tables that a stream is joined with are read
+    anew by each batch, so the view shows them as they are by then; a stream isn't held in state for that.
+    """
+    out = tracked
+    for table, column, key in dimensions:
+        named = table.select(F.col(key).alias(f"_{key}"), *[c for c in table.columns if c != key])
+        out = out.join(named, F.col(column) == F.col(f"_{key}"), "left").drop(f"_{key}")
+    return out
+
+
 def expire(rows: DataFrame, at: str, now, width_seconds: int, keep=None) -> DataFrame:
     """Rows no older than ``width_seconds`` (the far end stays), and those for which ``keep`` holds."""
     young = F.col(at) >= F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(float(width_seconds)))

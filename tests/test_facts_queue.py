@@ -292,3 +292,22 @@ def test_sqlite_does_the_work(spark, tmp_path):
     assert sorted(r.k for r in files.sqlite_table(spark, path, "t", "k long", "k % 2 = 0", tasks=4).collect()) == list(range(0, 100, 2))
     with pytest.raises(ValueError):
         files.sqlite_table(spark, path, "t", "k long", limit=1, tasks=2)
+
+
+def test_publication_has_bounds(spark):
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), spark.createDataFrame([(1, "a"), (2, "c")], "id int, v string")
+    log = spark.createDataFrame([(1, "x"), (2, "y")], "position int, line string")
+    more, other = log.unionByName(spark.createDataFrame([(3, "z")], log.schema)), spark.createDataFrame([(1, "X"), (2, "y"), (3, "z")], log.schema)
+    assert V.publication_boundary(old, new, "id", ["v"], log, more).count() == 0
+    assert {(r.rule, r.n) for r in V.publication_boundary(old, old, "id", ["v"], log, other).collect()} == {("changed ids", 0), ("log lines lost", 1)}
+    files = [spark.createDataFrame(rows, "path string, sha256 string") for rows in ([("a", "1"), ("b", "2")], [("a", "1"), ("b", "3"), ("c", "4")])]
+    assert {(r.path, r.change) for r in V.changed_files(*files).collect()} == {("b", "changed"), ("c", "added")}
+
+
+def test_a_view_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1, "x"), (2, "y"), (9, "z")], "id int, name string").write.parquet(f"{tmp_path}/in")
+    official, meta = spark.createDataFrame([(1, "RENEWED")], "key int, status string"), spark.createDataFrame([(2, 2026)], "key int, year int")
+    stream = spark.readStream.schema("id int, name string").parquet(f"{tmp_path}/in")
+    q = folds.watch_view(stream, (official, "id", "key"), (meta, "id", "key")).writeStream.format("memory").queryName("view").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(map(tuple, spark.table("view").collect())) == [(1, "x", "RENEWED", None), (2, "y", None, 2026), (9, "z", None, None)]
