@@ -133,7 +133,28 @@ def linked_from_finished(spark: SparkSession, d: str) -> DataFrame:
     return linked_from(_links(spark, d), pages)
 
 
-@query()
+_L, _R = "(?:^|[^\\pL\\pN_])", "(?:$|[^\\pL\\pN_])"
+_NUM = "one|first|two|second|three|third|four|fourth|five|fifth|six|sixth|seven|seventh|eight|eighth|nine|ninth|ten|tenth"
+_NUMS = "['" + "','".join(_NUM.split("|")) + "']"
+_MON = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
+_MESES = "['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre']"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, publication_date AS p, regexp_split_to_array(text, '[\\n.!?]+') AS parts FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, p, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^ +| +$', '', 'g')), lambda x: x <> '') AS ss FROM p),
+s AS (SELECT doc_id, p, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS position, unnest(ss) AS s FROM q),
+k AS (SELECT *, CASE WHEN regexp_matches(s, '(?i){_L}(final season|last season|letzte staffel|última temporada|posljednja sezona|dernière saison){_R}') THEN 'FINAL' WHEN regexp_matches(s, '(?i){_L}(cancel(?:s|ed|led)|cancela|annulée?|setzt .* ab|otkazana){_R}') THEN 'CANCELED'
+  WHEN regexp_matches(s, '(?i){_L}(renew(?:s|ed)|renueva|renouvelle|a renouvelé|ha renovado|verlängert|je obnovio){_R}') THEN 'RENEWED' WHEN regexp_matches(s, '(?i){_L}(premieres|se estrena|startet am|arrivera le|počinje){_R}') THEN 'PREMIERE' END AS kind FROM s),
+f AS (SELECT * FROM k WHERE kind IS NOT NULL AND NOT regexp_matches(s, '(?i){_L}(not|never|won''t|wouldn''t|isn''t|may|might|could|rumou?r(?:s|ed)?|reportedly|whether|no|kein(?:e|en)?|aún no|pas|nije){_R}')),
+x AS (SELECT *, regexp_extract(lower(s), '{_L}season ([0-9]+|{_NUM}){_R}', 1) AS a, regexp_extract(lower(s), '{_L}([0-9]+|{_NUM})(?:st|nd|rd|th)? (?:and final )?season{_R}', 1) AS b,
+  regexp_extract(s, '(?i){_L}({_MON})\\.? ([0-9]{{1,2}})(?:st|nd|rd|th)?(?:,? ([0-9]{{4}}))?{_R}', ['m', 'd', 'y']) AS x, regexp_extract(s, '(?i){_L}([0-9]{{1,2}})(?:st|nd|rd|th)? ({_MON})\\.?(?:,? ([0-9]{{4}}))?{_R}', ['d', 'm', 'y']) AS z,
+  regexp_extract(s, '(?i){_L}([0-9]{{1,2}}) de (enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre) de ([0-9]{{4}}){_R}', ['d', 'm', 'y']) AS e FROM f),
+y AS (SELECT *, CASE WHEN x.m <> '' THEN x.m ELSE z.m END AS m, CASE WHEN x.m <> '' THEN x.d ELSE z.d END AS d, nullif(CASE WHEN x.m <> '' THEN x.y ELSE z.y END, '') AS yr FROM x),
+w AS (SELECT *, '-' || lpad(CAST(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(m[1:3])) AS VARCHAR), 2, '0') || '-' || lpad(d, 2, '0') AS md FROM y)
+SELECT doc_id, position, s AS sentence, kind, CAST(coalesce(try_cast(nullif(a, '') AS INTEGER), (nullif(list_position({_NUMS}, a), 0) + 1) // 2, try_cast(nullif(b, '') AS INTEGER), (nullif(list_position({_NUMS}, b), 0) + 1) // 2) AS INTEGER) AS season,
+  coalesce(CASE WHEN m = '' THEN NULL WHEN yr IS NOT NULL THEN try_cast(yr || md AS DATE) WHEN try_cast(year(p) || md AS DATE) < p THEN try_cast((year(p) + 1) || md AS DATE) ELSE try_cast(year(p) || md AS DATE) END,
+    try_cast(e.y || '-' || lpad(CAST(list_position({_MESES}, lower(e.m)) AS VARCHAR), 2, '0') || '-' || lpad(e.d, 2, '0') AS DATE)) AS day FROM w""")
 def document_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims about seasons in all documents."""
     return extract_claims(table(spark, d, "documents"), "doc_id", "text", "publication_date")
@@ -150,6 +171,20 @@ def season_and_status_spans(spark: SparkSession, d: str) -> DataFrame:
     return near.select("row_id", "pos", F.col("x.claim.text").alias("claim"), F.col("x.reference.text").alias("season"), F.col("x.reference.gap").alias("gap"), spans.excerpt(F.col("t"), F.col("x.claim"), F.col("x.reference")).alias("excerpt"))
 
 
+@query("""
+WITH s AS (SELECT row_id, CAST(generate_subscripts(relevantEvidenceSnippet, 1) - 1 AS INTEGER) AS pos, unnest(relevantEvidenceSnippet) AS t FROM hbo_production_evidence),
+a AS (SELECT row_id, pos, t, unnest(list_filter(generate_series(0, length(t) - 1), lambda i: lower(substr(t, i + 1, 7)) = 'renewed')) AS c, list_filter(generate_series(0, length(t) - 1), lambda i: lower(substr(t, i + 1, 6)) = 'season') AS r FROM s WHERE t IS NOT NULL),
+g AS (SELECT row_id, pos, t, c, list_min(list_filter(list_transform(r, lambda x: {'gap': greatest(0, c - (x + 6), x - (c + 7)), 'start': x}), lambda y: y.gap <= 85)) AS m FROM a),
+e AS (SELECT *, least(c, m.start) AS lo, greatest(c + 7, m.start + 6) AS hi FROM g WHERE m IS NOT NULL), w AS (SELECT *, greatest(0, CAST(floor((200 - (hi - lo)) / 2.0) AS BIGINT)) AS room FROM e)
+SELECT row_id, pos, CAST(c AS INTEGER) AS claim_at, CAST(m.gap AS INTEGER) AS gap, trim(substr(t, greatest(0, lo - room) + 1, least(200, hi + room - greatest(0, lo - room)))) AS excerpt FROM w""")
+def renewals_near_seasons(spark: SparkSession, d: str) -> DataFrame:
+    """Each "renewed" with the nearest "season" within 85 characters, and the excerpt around both."""
+    e = table(spark, d, "hbo_production_evidence").select("row_id", F.posexplode("relevantEvidenceSnippet").alias("pos", "t")).where("t is not null")
+    found = e.select("row_id", "pos", "t", spans.spans(F.col("t"), "renewed").alias("claims"), spans.spans(F.col("t"), "season").alias("seasons"))
+    near = found.select("row_id", "pos", "t", F.explode(spans.pairs(F.col("claims"), F.col("seasons"), 85)).alias("x"))
+    return near.select("row_id", "pos", F.col("x.claim.start").alias("claim_at"), F.col("x.reference.gap").alias("gap"), spans.excerpt(F.col("t"), F.col("x.claim"), F.col("x.reference")).alias("excerpt"))
+
+
 @query("""
 WITH c AS (SELECT tmdbId, nextSeasonNumber AS g, status, releaseDate, row_id, CASE status WHEN 'CANCELED' THEN 4 WHEN 'FINAL_SEASON' THEN 3 WHEN 'RENEWED' THEN 1 ELSE 0 END AS w FROM hbo_production_evidence WHERE tmdbId IS NOT NULL),
 t AS (SELECT * FROM c QUALIFY rank() OVER (PARTITION BY tmdbId ORDER BY coalesce(g, -1) DESC) = 1)
