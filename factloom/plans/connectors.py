@@ -214,7 +214,7 @@ def publication_boundary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT row_id, array_to_string(regexp_extract_all(lower(nfc_normalize(array_to_string(list_transform(string_split(replace(replace(title, '&amp;', '&'), '&#39;', chr(39)), ''), lambda c: CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) WHEN unicode(c) IN (160, 12288) THEN ' ' ELSE c END), ''))), '[\\p{L}\\p{N}_]+'), ' ') AS t
+SELECT row_id, array_to_string(regexp_extract_all(replace(lower(nfc_normalize(array_to_string(list_transform(string_split(replace(replace(title, '&amp;', '&'), '&#39;', chr(39)), ''), lambda c: CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) WHEN unicode(c) IN (160, 12288) THEN ' ' ELSE c END), ''))), 'ß', 'ss'), '[\\p{L}\\p{N}_]+'), ' ') AS t
 FROM official_series_data WHERE regexp_matches(title, '^[\\x20-\\x7e\\x{a0}-\\x{17f}\\x{300}-\\x{301}\\x{ff01}-\\x{ff5e}\\x{3000}]*$')""")
 def accent_titles(spark: SparkSession, d: str) -> DataFrame:
     """Titles of Latin letters in compatibility form with their accents, words joined by single blanks."""

@@ -32,7 +32,7 @@ _FOLD = (
 
 
 def _fold(column: str) -> str:
-    for joined, plain in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl")):
+    for joined, plain in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("Ⅳ", "IV"), ("ⅱ", "ii"), ("ⅲ", "iii"), ("ⅳ", "iv")):
         column = f"replace({column}, '{joined}', '{plain}')"
     return _FOLD.format(column)
 
