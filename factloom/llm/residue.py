@@ -32,7 +32,7 @@ RUN, REPEATS = 4, 3
 #: Most words of a note; what is longer is prose in brackets.
 NOTE_WORDS = 12
 #: Share of a sentence's letters from which on its phrases stand for the whole of it.
-OWN = 0.45
+OWN = 0.6
 
 # Messages of servers, applications and access checks.
 MESSAGES = """
@@ -51,8 +51,12 @@ something went wrong|an error occurred|an unexpected error|nosuchkey|could not b
 can't be displayed|cannot be displayed|can not be displayed|could not be displayed|can't be reached|cannot be reached|is not responding|took too long to respond|temporarily unavailable|currently unavailable|unavailable right now|right now
 are overloaded|is overloaded|too busy|experiencing technical difficulties|technical difficulties|bad request|method not allowed|not acceptable|request timeout|payload too large|rate limit exceeded|you have exceeded|ip address has been|has been blocked|blocked by
 security check|press and hold|prove you are not a robot|i'm not a robot|not authorized|unauthorized|authentication required|login required|this link has expired|link is broken|broken link|page has moved|page was not found|could not be found|couldn't find|cannot find
-no se puede mostrar|no se pudo cargar|no existe|ha caducado|inicie sesión|fuera de servicio|servidor ocupado|error del servidor|ne peut pas être affichée|n'existe pas|a expiré|erreur interne|serveur|hors service|kann nicht angezeigt werden|existiert nicht|ist abgelaufen|melden sie sich an|serverfehler|überlastet
+no se puede mostrar|no se pudo cargar|no existe|ha caducado|inicie sesión|fuera de servicio|servidor ocupado|error del servidor|ne peut pas être affichée|n'existe pas|a expiré|erreur interne|hors service|kann nicht angezeigt werden|existiert nicht|ist abgelaufen|melden sie sich an|serverfehler|überlastet
 ne može se prikazati|ne postoji|je istekla|prijavite se|pogreška poslužitelja|nije dostupna|preopterećen
+backend fetch failed|guru meditation|error 503|error 502|error 500|error 404|error 403|you are unable to access|unable to access this site|this site can't be reached|this site|the connection was reset|connection was reset|connection was interrupted|has been moved|was moved
+or misconfiguration|was unable to complete your request|unable to complete|encountered an internal error|an internal error|the server encountered|just a moment|before accessing|please stand by|verifying you are human|needs to verify|this may take a few seconds|this process is automatic|host error|origin is unreachable|dns resolution error|ssl handshake failed
+la página que busca|la página que buscas|ha sido movida|ha sido eliminada|ha ocurrido un error|error interno del servidor|acceso restringido|contenido no disponible|cette page n'existe pas|ou a été déplacée|a été déplacée|a été supprimée|la page que vous recherchez|la page que vous cherchez|accès interdit|accès restreint|erreur interne du serveur|contenu indisponible|veuillez patienter
+diese seite existiert nicht|oder wurde verschoben|wurde verschoben|wurde gelöscht|die angeforderte seite|die gesuchte seite|wurde nicht gefunden|interner serverfehler|zugriff nicht gestattet|inhalt nicht verfügbar|bitte warten|tražena stranica|premještena|uklonjena|interna pogreška poslužitelja|pristup zabranjen|sadržaj nije dostupan|pokušajte ponovo|došlo je do greške|molimo pričekajte
 lo sentimos|se ha producido un error|error inesperado|página no encontrada|no se ha encontrado la página|no encontramos la página|volver al inicio|acceso denegado|no tiene permiso para ver esta página|no tiene permiso
 el servicio no está disponible en este momento|no está disponible|inténtelo de nuevo más tarde|inténtelo más tarde|en mantenimiento|demasiadas solicitudes
 page introuvable|la page demandée est introuvable|est introuvable|erreur 404|accès refusé|vous n'êtes pas autorisé à consulter cette page|vous n'êtes pas autorisé|service momentanément indisponible|momentanément indisponible
@@ -64,7 +68,7 @@ došlo je do pogreške|održavanje u tijeku|povratak na početnu|previše zahtje
 """
 # Notices about scripts, cookies and the browser.
 NOTICES = """
-you need to enable javascript to run this app|enable javascript|please enable cookies and javascript to continue|enable cookies|javascript is disabled|javascript is required|requires javascript|please turn it on and reload the page
+you need to enable javascript to run this app|please enable js|enable js|disable any ad blocker|enable javascript|please enable cookies and javascript to continue|enable cookies|javascript is disabled|javascript is required|requires javascript|please turn it on and reload the page
 turn it on and reload|this site requires scripts|requires scripts|your browser does not support them|or they are switched off|they are switched off|your browser does not support|turn scripts on|reload.|that's all we know
 if nothing happens, allow scripts for|if nothing happens|allow scripts|loading…|loading...|noscript|content for|enable scripts to read on|enable scripts|your browser is out of date|is out of date|update it to view|update your browser
 correctly|unsupported browser|cookies are disabled|accept cookies to continue|to continue to
@@ -145,8 +149,8 @@ _NATURAL = re.compile(
 )
 #: Words for signs and their use: a sentence with one of them speaks of the sign.
 _MENTION = re.compile(
-    r"\b(?:stylised|stylized|spelled|spelt|braces?|brackets?|logos?|tags?|elements?|markup|syntax|trademarks?|brand|letters?|signs?|symbols?|placeholders?|literally"
-    r"|klammern?|zeichen|platzhalter|schriftzug|accolades?|crochets?|balises?|signes?|llaves?|corchetes?|etiquetas?|signos?|zagrad\w*|oznak\w*|znak\w*|logotip\w*)\b", re.IGNORECASE,
+    r"\b(?:stylised|stylized|spelled|spelt|braces?|brackets?|logos?|tags?|markup|syntax|trademarks?|symbols?|placeholders?|literally"
+    r"|klammern?|platzhalter|schriftzug|accolades?|crochets?|balises?|llaves?|corchetes?|etiquetas?|zagrad\w*|oznak\w*|znak\w*|logotip\w*)\b", re.IGNORECASE,
 )
 #: Names of slots that are ordinary words; in plain brackets one alone may be an editor's addition.
 _TRIGGERS = (

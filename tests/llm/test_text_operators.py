@@ -399,6 +399,26 @@ def test_more_residue(text, kind):
     assert R.residue(text) == kind
 
 
+@pytest.mark.parametrize("text", [
+    "Error 503\nBackend fetch failed", "Sorry, you have been blocked. You are unable to access this site.", "This site can't be reached. The connection was reset.", "Please enable JS and disable any ad blocker",
+    "La página que buscas no existe. Volver al inicio.", "Cette page n'existe pas ou a été déplacée.", "Diese Seite existiert nicht oder wurde verschoben.", "Tražena stranica ne postoji.", "Just a moment... Checking your browser before accessing tv.example.",
+])
+def test_well_known_messages(text):
+    assert R.residue(text) == "message" and R.residue(REAL * 3 + "\n" + text) is None
+
+
+@pytest.mark.parametrize("text", [
+    "The series is no longer available on Lumora.", "Paper Ferry is unavailable right now in Croatia.", "Access to the set was denied, and the crew said so.", "The show has been removed from the schedule by its network.",
+    "Season two isn't available in your region until May.", "He typed 404 not found on his phone and laughed at the joke with her.",
+])
+def test_news_in_the_words_of_messages(text):
+    assert R.residue(text) is None
+
+
+def test_slot_beside_a_letter():
+    assert R.residue("The story puts off a letter dated <date> while Vrsnik freezes over.") == "slot"
+
+
 def test_wordings_of_notes():
     assert R._wordings("add (?:a |the )?(?:quote|link)") == ["add a quote", "add a link", "add the quote", "add the link", "add quote", "add link"]
     assert R._alternatives("a|b (?:c|d)|e") == ["a", "b (?:c|d)", "e"]
