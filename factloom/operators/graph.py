@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,27 @@ def index_crawl(links: DataFrame, entries: DataFrame, depth: int, is_index, most
 def linked_from(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct targets (node) to which one of ``pages`` (node) links."""
     return links.join(pages.select(F.col("node").alias("source")).distinct(), "source", "left_semi").select(F.col("target").alias("node")).where("node is not null").distinct()
+
+
+def qualification_walk(edges: DataFrame, seeds: DataFrame, pages: int, per_page: int) -> DataFrame:
+    """Depth-first walks from each seed within a budget: (seed, place, node), the first ``pages`` pages in the order they are looked at.
+
+    The children of a page, the least ``per_page`` of them, go to the front of what is still to be looked at, unless the walk has met them
+    before. A walk's state is at most ``pages * per_page`` nodes; all walks take a step in one join, ``pages`` times, checkpointed.
+    Hubs are cut to their least children before they are brought together. Null nodes are left out.
+    """
+    place = F.row_number().over(Window.partitionBy("source").orderBy("target"))
+    few = edges.select("source", "target").where("source is not null and target is not null").distinct().withColumn("n", place).where(F.col("n") <= per_page)
+    children = few.groupBy("source").agg(F.array_sort(F.collect_list("target")).alias("children")).checkpoint()
+    nodes = F.array().cast(f"array<{children.schema['source'].dataType.simpleString()}>")
+    walks = seeds.where("node is not null").select(F.col("node").alias("seed"), F.array("node").alias("ahead"), F.array("node").alias("met"), nodes.alias("seen")).distinct()
+    for _ in range(pages):
+        now = F.get("ahead", F.lit(0))
+        step = walks.withColumn("now", now).join(children, F.col("now") == F.col("source"), "left")
+        fresh = F.filter(F.coalesce("children", nodes), lambda x: ~F.array_contains("met", x))
+        moved = step.withColumn("fresh", fresh).select(
+            "seed", F.concat("fresh", F.slice("ahead", 2, pages * per_page + 1)).alias("ahead"), F.concat("met", "fresh").alias("met"),
+            F.when(F.col("now").isNull(), F.col("seen")).otherwise(F.array_append("seen", F.col("now"))).alias("seen"),
+        )
+        walks = moved.checkpoint()
+    return walks.select("seed", F.posexplode("seen").alias("place", "node"))

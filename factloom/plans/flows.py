@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import spans
 from factloom.functions.claims import extract_claims
-from factloom.operators.graph import bounded_walk, index_crawl as crawl, linked_from
+from factloom.operators.graph import bounded_walk, index_crawl as crawl, linked_from, qualification_walk
 from factloom.operators.resolve import reconcile
 from factloom.session import shared_dir, table
 from factloom.streaming import folds
@@ -127,6 +127,19 @@ def index_crawl(spark: SparkSession, d: str) -> DataFrame:
     return crawl(_links(spark, d), entries, 2, lambda t: F.startswith(t, F.lit("o")))
 
 
+@query(f"""
+WITH RECURSIVE {_EDGES}, adj AS (SELECT source, list(target ORDER BY target)[1:3] AS kids FROM (SELECT DISTINCT source, target FROM edges) GROUP BY source), seeds AS (SELECT DISTINCT 'o' || l_orderkey AS node FROM lineitem WHERE l_orderkey % 50 = 0),
+r AS (SELECT node AS seed, 0 AS n, [node] AS ahead, [node] AS met, CAST([] AS VARCHAR[]) AS seen FROM seeds
+  UNION ALL SELECT seed, n + 1, list_concat(fresh, ahead[2:]), list_concat(met, fresh), list_append(seen, ahead[1]) FROM (SELECT r.*, list_filter(coalesce(kids, []), lambda x: NOT list_contains(met, x)) AS fresh FROM r LEFT JOIN adj ON source = ahead[1] WHERE n < 5 AND len(ahead) > 0)),
+w AS (SELECT seed, arg_max(seen, n) AS seen FROM r GROUP BY seed)
+SELECT seed, CAST(generate_subscripts(seen, 1) - 1 AS INTEGER) AS place, unnest(seen) AS node FROM w""")
+def qualification_walks(spark: SparkSession, d: str) -> DataFrame:
+    """Depth-first walks of five pages from every fiftieth order."""
+    shared_dir(spark)
+    seeds = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.concat(F.lit("o"), "l_orderkey").alias("node"))
+    return qualification_walk(_links(spark, d), seeds, 5, 3)
+
+
 @query(f"WITH {_EDGES} SELECT DISTINCT target AS node FROM edges WHERE source IN (SELECT 'o' || o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def linked_from_finished(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))

@@ -125,6 +125,19 @@ def merge_order(spark: SparkSession, d: str) -> DataFrame:
     return O.top_per_group(e, "tmdbId", order, 5).select("tmdbId", "row_id", F.col("place").cast("long").alias("place"))
 
 
+@query("""
+SELECT tmdbId, string_agg(coalesce(CAST(nextSeasonNumber AS VARCHAR), '-') || ' ' || coalesce(status, '-') || ' ' || coalesce(sourceUrl, '-'), chr(10) ORDER BY place) AS evidence
+FROM (SELECT *, row_number() OVER (PARTITION BY tmdbId ORDER BY nextSeasonNumber NULLS LAST, status NULLS LAST, sourceUrl NULLS LAST, row_id) AS place FROM hbo_production_evidence WHERE tmdbId IS NOT NULL) WHERE place <= 5 GROUP BY tmdbId""")
+def sorted_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Each series' first five pieces of evidence in order of season, status and URL, as one text."""
+    e = table(spark, d, "hbo_production_evidence").where("tmdbId is not null")
+    order = [F.asc_nulls_last("nextSeasonNumber"), F.asc_nulls_last("status"), F.asc_nulls_last("sourceUrl"), F.col("row_id")]
+    line = F.concat_ws(" ", F.coalesce(F.col("nextSeasonNumber").cast("string"), F.lit("-")), F.coalesce("status", F.lit("-")), F.coalesce("sourceUrl", F.lit("-")))
+    top = O.top_per_group(e, "tmdbId", order, 5).select("tmdbId", F.struct("place", line.alias("line")).alias("x"))
+    lines = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"])
+    return top.groupBy("tmdbId").agg(F.array_join(lines, "\n").alias("evidence"))
+
+
 @query("""
 SELECT event_id, list_sort(json_keys(props)) = ['k'] AS exact, len(list_filter(json_keys(props), lambda x: x NOT IN ('k', 'v'))) AS extra FROM events""")
 def key_set_equality(spark: SparkSession, d: str) -> DataFrame:

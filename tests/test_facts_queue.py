@@ -192,6 +192,16 @@ def test_crawl_merges_anchors(spark):
     assert sorted(r.node for r in linked_from(links, entries).collect()) == ["a", "i1"]
 
 
+def test_depth_first_walks_keep_to_their_budget(spark):
+    from factloom.operators.graph import qualification_walk
+
+    shared_dir(spark)
+    edges = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "c"), ("s", "d"), ("a", "x"), ("a", "s"), ("x", "y"), ("b", "z"), (None, "q"), ("t", None)], "source string, target string")
+    seeds = spark.createDataFrame([("s",), ("t",), (None,), ("s",)], "node string")
+    got = sorted(map(tuple, qualification_walk(edges, seeds, 5, 3).collect()))
+    assert got == [("s", 0, "s"), ("s", 1, "a"), ("s", 2, "x"), ("s", 3, "y"), ("s", 4, "b"), ("t", 0, "t")]
+
+
 def test_mass_changes_are_blocked(spark):
     df = spark.createDataFrame([(1,)] * 5 + [(2,)] * 4, "s int")
     assert {r.s: r.blocked for r in V.mass_change(df, "s", 4).collect()} == {1: True, 2: False}
