@@ -8,8 +8,8 @@ Layout: the timeline is cut into blocks of ``block`` time units and each bitmap
 keyed by (entity, block, value, word). A block holds at most ``block`` instants of one entity
 whatever the number of delivered rows, so that an entity with a third of all rows is spread over
 as many tasks as it has blocks. Runs that cross a block's edge are joined from one small row
-per entity and block. The runs are checkpointed in the shared folder, since they are looked at twice, for
-the edges and for the joining.
+per entity and block. The runs are written to the shared folder, since they are looked at twice, for
+the edges and for what lies between.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.session import shared_dir
+from factloom.session import scratch
 
 WORD = 64
 DAY = 86_400
@@ -82,31 +82,34 @@ def bitmap_runs(observed: DataFrame, block: int = DAY) -> DataFrame:
     return starts.select("entity", "block", "state", F.explode(F.transform(first, lambda x: x["t"])).alias("t"))
 
 
-def join_blocks(runs: DataFrame) -> DataFrame:
-    """Validity intervals (entity, state, valid_from, valid_to) from the runs of all blocks.
+def marked_runs(runs: DataFrame) -> DataFrame:
+    """Run starts with their place in the (entity, block), the next one's instant, and the last one of the block; no shuffle."""
+    by_block = Window.partitionBy("entity", "block")
+    return runs.select(
+        "entity", "block", "t", "state", F.row_number().over(by_block.orderBy("t")).alias("place"), F.lead("t").over(by_block.orderBy("t")).alias("next"),
+        F.count("*").over(by_block).alias("n"), F.max(F.struct("t", "state")).over(by_block).alias("tail"),
+    )
 
-    valid_to is the start of the entity's next interval and null for its last one.
+
+def join_blocks(marked: DataFrame) -> DataFrame:
+    """Validity intervals (entity, state, valid_from, valid_to) from the run starts of all blocks.
+
+    valid_to is the start of the entity's next interval and null for its last one. A run that goes on from the block before
+    starts no interval. All that depends on other blocks is the first and the last run of a block, so
+    one row for each block goes through a window by entity; what lies between them comes out as it is.
     """
-    edge = runs.groupBy("entity", "block").agg(
-        F.min(F.struct("t", "state")).alias("head"),
-        F.max(F.struct("t", "state")).alias("tail"),
-        F.get(F.sort_array(F.collect_list("t")), F.lit(1)).alias("second"),
-    )
+    between = marked.where("place > 1 and place < n").select("entity", "state", F.col("t").alias("valid_from"), F.col("next").alias("valid_to"))
+    edge = marked.where("place = 1")
     by_entity = Window.partitionBy("entity").orderBy("block")
     backwards = Window.partitionBy("entity").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    joined = (
-        edge.withColumn("goes_on", F.coalesce(F.lag("tail.state").over(by_entity) == F.col("head.state"), F.lit(False)))
-        .withColumn("opens", F.when(F.col("goes_on"), F.col("second")).otherwise(F.col("head.t")))
+    told = (
+        edge.withColumn("goes_on", F.coalesce(F.lag("tail.state").over(by_entity) == F.col("state"), F.lit(False)))
+        .withColumn("opens", F.when(F.col("goes_on"), F.col("next")).otherwise(F.col("t")))
         .withColumn("later", F.last("opens", ignorenulls=True).over(backwards))
-        .select("entity", "block", F.col("head.t").alias("head_t"), "goes_on", "later")
-    )
-    within = Window.partitionBy("entity", "block").orderBy("t")
-    return (
-        runs.join(joined, ["entity", "block"])
-        .withColumn("valid_to", F.coalesce(F.lead("t").over(within), F.col("later")))
-        .where(~(F.col("goes_on") & (F.col("t") == F.col("head_t"))))
-        .select("entity", "state", F.col("t").alias("valid_from"), "valid_to")
     )
+    first = F.when(~F.col("goes_on"), F.struct("state", F.col("t").alias("valid_from"), F.coalesce("next", "later").alias("valid_to")))
+    last = F.when(F.col("n") > 1, F.struct(F.col("tail.state").alias("state"), F.col("tail.t").alias("valid_from"), F.col("later").alias("valid_to")))
+    return between.unionByName(told.select("entity", F.inline(F.array_compact(F.array(first, last)))))
 
 
 def state_history(changes: DataFrame, entity: str, instant: str, old: str, new: str, block: int = DAY) -> DataFrame:
@@ -116,9 +119,10 @@ def state_history(changes: DataFrame, entity: str, instant: str, old: str, new:
     new state is null leaves the state as it is. Empty input gives no rows; columns other than the
     four named ones are not looked at, so clashing names do no harm.
     """
-    shared_dir(changes.sparkSession)
-    runs = bitmap_runs(states_by_instant(changes, entity, instant, old, new), block)
-    return join_blocks(runs.checkpoint())
+    marked = marked_runs(bitmap_runs(states_by_instant(changes, entity, instant, old, new), block))
+    at = scratch(changes.sparkSession, "history")
+    marked.write.parquet(at)
+    return join_blocks(changes.sparkSession.read.schema(marked.schema).parquet(at))
 
 
 def snapshot_history(snapshots: DataFrame, snapshot: str, entity: str, attribute: str) -> DataFrame:
