@@ -10,13 +10,19 @@
    and the same general category, so that I, l and 1 stay apart. For each class it is known
    in which scripts it can be written, and by which sign.
 
-``key`` writes each class by one sign. Two texts look alike exactly if their keys are equal.
+``key`` intersects, across each token (a run of letters, marks and digits), the sets of scripts in which its signs
+can be written, and writes the whole token in the first script of the intersection; if nothing is left, each sign in
+the first script of its own class. A letter without case belongs to the class of the cased letter that it looks like
+here. All of this depends on the classes only: two texts look alike exactly if their keys are equal.
+
+``difference`` tells a text that looks like a name from the name, by the resolved script sets of the tokens that
+differ: mixed (the token's signs have no script in common), whole (they have, but none of the name's token), single
+(look-alikes of one script), or form (signs of no script, width, blanks, invisible signs, composition).
 
 ``of`` writes text that can be read and stays what it was where nothing is wrong:
 
-4. The sets of scripts in which the signs can be written are intersected across each token (a run of letters, marks
-   and digits). Scripts in which a language would have to be rare to use the letters drop out. What is left
-   may be one script, or several (a whole-script confusable): then the nearest token decides that has one, then
+4. The sets of scripts in which the signs can be written are intersected across each token. Scripts in which
+   a language would have to be rare to use the letters drop out. What is left may be one script, or several (a whole-script confusable): then the nearest token decides that has one, then
    what most of the token's own signs are, then the order Latin, Cyrillic, Greek, others. If nothing is left
    (writing systems that mix scripts, say), signs that could be Katakana or ideographs follow their neighbours.
 5. A sign that belongs to the chosen script stays, another one is replaced by that script's sign of its class. The
@@ -41,6 +47,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +67,10 @@ PREFERRED = ("Latn", "Cyrl", "Grek", "Hira", "Kana", "Hani")
 RARER = 4
 #: Writing systems that use several scripts side by side (Unicode Technical Standard 39).
 SYSTEMS = {"Hani": ("Hanb", "Jpan", "Kore"), "Hira": ("Jpan",), "Kana": ("Jpan",), "Hang": ("Kore",), "Bopo": ("Hanb",)}
+#: Longer tokens are worked out each time, so that kept ones stay small.
+LONG_TOKEN = 64
+#: Kinds of difference from a name, the smallest first.
+DIFFERENCES = ("form", "single", "whole", "mixed")
 _PATTERN = re.compile(r"\{(?:\\.|[^}])*\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\(.)|(.)", re.DOTALL)
 
 
@@ -143,6 +154,8 @@ class Table:
         self.shares = shares
         #: Sign -> script -> the sign that writes its class in it; "" stands for signs of no script.
         self.classes: dict[str, dict[str, str]] = {}
+        #: The same for keys: letters without case are in the classes of the cased letters that they look like.
+        self.looks: dict[str, dict[str, str]] = {}
 
     def scripts(self, char: str) -> tuple[str, ...]:
         """Script extensions of a letter or mark; none for signs of no script."""
@@ -169,23 +182,33 @@ def confusables(spark: SparkSession) -> Table:
         if unicodedata.category(c)[0] in "LPSN" and unfold(c) == c
     ]
     skeletons = checks.Builder().build().getSkeleton("\n".join(signs)).split("\n")
-    classes = defaultdict(list)
+    classes, looks = defaultdict(list), defaultdict(list)
     for sign, skeleton in zip(signs, skeletons, strict=True):
-        classes[skeleton, unicodedata.category(sign)].append(sign)
+        kind = unicodedata.category(sign)
+        cased = kind == "Lo" and len(skeleton) == 1 and unicodedata.category(skeleton) in ("Lu", "Ll")
+        classes[skeleton, kind].append(sign)
+        looks[skeleton, unicodedata.category(skeleton) if cased else kind].append(sign)
     table = Table(_scripts(spark), _shares(spark))
-    for members in classes.values():
-        if len(members) == 1:
-            continue
-        scripts: dict[str, str] = {}
-        writers = [c for c in members if ord(c) in usual] or members[:1]
-        for script in {x for c in writers for x in table.scripts(c) or ("",)}:
-            own = [c for c in writers if script in (table.scripts(c) or ("",))]
-            scripts[script] = min(own, key=lambda c: (-table.share(script, c) if script else 0.0, ord(c)))
-        for sign in members:
-            table.classes[sign] = scripts
+    for known, groups in ((table.classes, classes), (table.looks, looks)):
+        for members in groups.values():
+            if len(members) == 1:
+                continue
+            scripts: dict[str, str] = {}
+            writers = [c for c in members if ord(c) in usual] or members[:1]
+            for script in {x for c in writers for x in table.scripts(c) or ("",)}:
+                own = [c for c in writers if script in (table.scripts(c) or ("",))]
+                scripts[script] = min(own, key=lambda c: (-table.share(script, c) if script else 0.0, ord(c)))
+            for sign in members:
+                known[sign] = scripts
     return table
 
 
+@lru_cache(maxsize=1)
+def _sent(spark: SparkSession) -> Broadcast:
+    """The table at the workers; all columns share it, so that a worker reads it once."""
+    return spark.sparkContext.broadcast(confusables(spark))
+
+
 class Spelling:
     """Keys and forms of texts under a table of look-alikes (see :func:`confusables`)."""
 
@@ -195,6 +218,14 @@ class Spelling:
         self.whole = lru_cache(maxsize=1 << 16)(lambda c: self._one(table.classes.get(c), c))
         self.own = lru_cache(maxsize=1 << 16)(table.scripts)
         self.choice = lru_cache(maxsize=1 << 15)(self._choice)
+        self.alike = self._kept(self._alike)
+        self.resolved = self._kept(self._resolved)
+
+    @staticmethod
+    def _kept(of):
+        """A function of tokens whose results are kept, but for those of long tokens."""
+        kept = lru_cache(maxsize=1 << 15)(of)
+        return lambda token: kept(token) if len(token) <= LONG_TOKEN else of(token)
 
     @staticmethod
     def _plain(char: str) -> str:
@@ -214,7 +245,36 @@ class Spelling:
         """What a text looks like; null for null, empty for empty, plain ASCII is its own key."""
         if text is None or _LOOKS_PLAIN.fullmatch(text):
             return text
-        return unicodedata.normalize("NFC", "".join(map(self.whole, self._apart(text))))
+        return unicodedata.normalize("NFC", "".join(map(self.alike, self._tokens(self._apart(text)))))
+
+    def _alike(self, token: str) -> str:
+        """A token in the first script in which all of it can be written; if there is none, each sign in its own first one."""
+        looks = {c: self.table.looks.get(c) for c in token}
+        sets = [held for c, k in looks.items() if (held := set(k or self.own(c))) and "" not in held]
+        script = min(set.intersection(*sets), key=_rank, default="") if sets else ""
+        written = {c: k[script] if k and "" not in k and script in k else self._one(k, c) for c, k in looks.items()}
+        return "".join([written[c] for c in token])
+
+    def _resolved(self, token: str) -> frozenset[str] | None:
+        """The scripts and writing systems that all signs of a token have in common; null if no sign has a script."""
+        sets = [self._systems(c) for c in set(token) if self.own(c)]
+        return frozenset(set.intersection(*sets)) if sets else None
+
+    def difference(self, text: str, name: str) -> str | None:
+        """What a text differs by from a name that it looks like; null if it is the name or looks otherwise."""
+        ours, theirs = self._tokens(self._apart(text)), self._tokens(self._apart(name))
+        if text == name or len(ours) != len(theirs):
+            return None
+        most = 0
+        for a, b in zip(ours, theirs, strict=True):
+            if a == b:
+                continue
+            if self.alike(a) != self.alike(b):
+                return None
+            x, y = self.resolved(a), self.resolved(b)
+            if x is not None and y is not None:
+                most = max(most, DIFFERENCES.index("mixed" if not x else "single" if x & y else "whole"))
+        return DIFFERENCES[most]
 
     def _can(self, char: str) -> set[str] | None:
         """Scripts in which a sign's look can be written; null for any."""
@@ -256,15 +316,14 @@ class Spelling:
     def _tokens(self, text: str) -> list[str]:
         """Runs of letters, marks and digits, and single other signs between them."""
         out: list[str] = []
-        inside = False
-        for c in text:
+        start, inside = 0, False
+        for i, c in enumerate(text):
             word = unicodedata.category(c)[0] in "LMN"
-            if word and inside:
-                out[-1] += c
-            else:
-                out.append(c)
+            if i and not (word and inside):
+                out.append(text[start:i])
+                start = i
             inside = word
-        return out
+        return [*out, text[start:]] if text else out
 
     def of(self, text: str | None) -> str | None:
         """The form of a text; null for null, empty for empty."""
@@ -301,8 +360,8 @@ class Spelling:
                 script = min(choice, key=lambda s: (-own[s], _rank(s)))
             written = "".join([self._written(c, script) for c in token])
             if written != token:
-                sets = [self._systems(c) for c in token if self.own(c)]
-                wrong = "mixed" if sets and not set.intersection(*sets) else wrong or ("whole" if sets and script not in set.intersection(*sets) else None)
+                scripts = self.resolved(token)
+                wrong = "mixed" if scripts is not None and not scripts else wrong or ("whole" if scripts and script not in scripts else None)
             out.append(written)
         form = unicodedata.normalize("NFC", "".join(out))
         return form, wrong or ("form" if form != text else None)
@@ -316,7 +375,9 @@ def names_that_look(spark: SparkSession, occurrences: DataFrame, names: DataFram
     """Occurrences that are no name of their key sign by sign but look like one.
 
     ``occurrences`` has key and text besides other columns, ``names`` key and name. Returns the occurrences'
-    columns and ``form``, what the text looks like. Rows with a null key or text, and keys without names, don't count.
+    columns, ``form``, what the text looks like, and ``confusion``, what it differs by from the name that it looks like
+    (the smallest difference, if it looks like several). Rows with a null key or text, and keys without names, don't
+    count. Candidates are those whose key is a name's key; each is compared with these names token by token.
     Each occurrence comes out once, repeats included. Names are grouped by key first (a series has a few). If there
     are at most ``FEW_NAMES`` of at most ``FEW_CHARACTERS`` together they are broadcast, so that occurrences stay
     where they are; otherwise they are repeated ``salts`` times, so that a key with a third of all occurrences is
@@ -326,7 +387,8 @@ def names_that_look(spark: SparkSession, occurrences: DataFrame, names: DataFram
     size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("characters")).first()
     per_key = (
         known.withColumn("_form", look_key(spark, F.col("name")))
-        .groupBy(F.col("key").alias("_key")).agg(F.collect_set("name").alias("_names"), F.collect_set("_form").alias("_forms"))
+        .groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("name", "_form")).alias("_known"))
+        .select("_key", F.col("_known.name").alias("_names"), F.col("_known._form").alias("_forms"))
     )
     told = occurrences.where("key is not null and text is not null")
     if size["n"] <= FEW_NAMES and size["characters"] <= FEW_CHARACTERS:
@@ -336,20 +398,38 @@ def names_that_look(spark: SparkSession, occurrences: DataFrame, names: DataFram
         spread = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = told.withColumn("_part", salt).join(spread, (F.col("key") == F.col("_key")) & (F.col("_part") == F.col("_salt")))
     odd = met.where(~F.array_contains("_names", F.col("text")))
-    looked = odd.withColumn("form", look_key(spark, F.col("text")))
-    return looked.where(F.array_contains("_forms", F.col("form"))).drop("_key", "_part", "_salt", "_names", "_forms")
+    looked = odd.withColumn("form", look_key(spark, F.col("text"), in_place=True))
+    like = F.filter("_names", lambda name, i: F.get("_forms", i) == F.col("form"))
+    alike = looked.where(F.array_contains("_forms", F.col("form"))).withColumn("confusion", _difference(spark, F.col("text"), like))
+    return alike.where("confusion is not null").drop("_key", "_part", "_salt", "_names", "_forms")
+
 
+def look_key(spark: SparkSession, text: Column, in_place: bool = False) -> Column:
+    """Column with what ``text`` looks like: equal for texts that look alike.
 
-def look_key(spark: SparkSession, text: Column) -> Column:
-    """Column with what ``text`` looks like: equal for texts that look alike."""
-    table = spark.sparkContext.broadcast(confusables(spark))
+    With ``in_place`` Spark may neither move it ahead of a join nor work it out again for each use.
+    """
+    table = _sent(spark)
 
     @F.pandas_udf(T.StringType())
     def key(texts: pd.Series) -> pd.Series:
         spelling = _spelling(table)
         return pd.Series([spelling.key(t) for t in texts], dtype=object)
 
-    return key(text)
+    return key.asNondeterministic()(text) if in_place else key(text)
+
+
+def _difference(spark: SparkSession, text: Column, names: Column) -> Column:
+    """Column with what ``text`` differs by from that of ``names`` to which it is nearest (see :class:`Spelling`)."""
+    table = _sent(spark)
+
+    @F.pandas_udf(T.StringType())
+    def difference(texts: pd.Series, names: pd.Series) -> pd.Series:
+        spelling = _spelling(table)
+        told = [[d for n in known if (d := spelling.difference(t, n))] for t, known in zip(texts, names, strict=True)]
+        return pd.Series([min(t, key=DIFFERENCES.index, default=None) for t in told], dtype=object)
+
+    return difference(text, names)
 
 
 def composed(text: Column) -> Column:
@@ -364,7 +444,7 @@ def composed(text: Column) -> Column:
 
 def look_form(spark: SparkSession, text: Column) -> Column:
     """Struct column: the form of ``text`` in one script a token, its key, and what was wrong (see :class:`Spelling`)."""
-    table = spark.sparkContext.broadcast(confusables(spark))
+    table = _sent(spark)
 
     @F.pandas_udf("struct<form: string, key: string, confusion: string>")
     def form(texts: pd.Series) -> pd.DataFrame:

@@ -143,6 +143,33 @@ def test_keys_tell_look_alikes_of_one_script(spelling):
     assert spelling.key("Đurđica") == spelling.key("Ðurđica") and spelling.key("Cafe") != spelling.key("Café")
 
 
+@pytest.mark.parametrize("text, key", [("Сосна и кедр", "Сосна и кедр"), ("Нoчнoй", "Ночной"), ("Рoѕtmаn", "Postman"), ("Ѕеа", "Sea"), ("Το Νησί χωρίς Φως", "To Νηοί χωρίς Φως"), ("ꓑаper", "Paper"), ("“A1”|'", "“A1”|'")])
+def test_keys_are_written_token_by_token_in_one_script(spelling, text, key):
+    assert spelling.key(text) == key and spelling.key(key) == key
+
+
+@pytest.mark.parametrize("text, name, difference", [
+    ("Pаper Ferry", "Paper Ferry", "mixed"), ("The Ѕеа", "The Sea", "whole"), ("Ðurđica", "Đurđica", "single"), ("Ｆｕｌｌ", "Full", "form"), ("Half‐Hour", "Half-Hour", "form"), ("расе", "pace", "whole"),
+    ("ꓑаper", "Paper", "mixed"), ("ꓑꓳꓲ", "POl", "whole"), ("Sea", "Sea", None), ("Sea", "SEA", None), ("Seas", "Sea", None), ("The Sea", "Sea", None),
+])
+def test_differences_from_a_name(spelling, text, name, difference):
+    assert spelling.difference(text, name) == difference and (spelling.key(text) == spelling.key(name)) == (difference is not None or text == name)
+
+
+def test_a_long_token_takes_linear_time(spelling):
+    text = "Сосна" * 100_000
+    assert spelling.key(text) == text and spelling.difference(text + "\u200b", text) == "form" and spelling._tokens("a-bé 1́x!") == ["a", "-", "bé", " ", "1́x", "!"]
+
+
+def test_mixed_and_whole_tokens_are_told_apart_where_names_are_found(spark):
+    names = spark.createDataFrame([(1, "Paper Ferry"), (1, "Рарег Ferry"), (2, "расе"), (3, "Paper")], "key int, name string")
+    rows = [(1, "Pаper Ferry"), (1, "Paper\u00a0Ferry"), (2, "pace"), (3, "ꓑaper"), (3, "Рарer"), (3, "Раper!")]
+    found = L.names_that_look(spark, spark.createDataFrame(rows, "key int, text string"), names).select("text", "form", "confusion")
+    assert sorted(map(tuple, found.collect())) == sorted([
+        ("Pаper Ferry", "Paper Ferry", "mixed"), ("Paper\u00a0Ferry", "Paper Ferry", "form"), ("pace", "pace", "whole"), ("ꓑaper", "Paper", "mixed"), ("Рарer", "Paper", "mixed"),
+    ])
+
+
 def test_names_are_joined_either_way(spark, monkeypatch):
     names = spark.createDataFrame([(1, "Paper Ferry"), (2, "Sea")], "key int, name string")
     occurrences = spark.createDataFrame([(1, "Pаper Ferry"), (2, "Sеa"), (2, "Sea"), (3, "x")], "key int, text string")
